@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, secret_scans, source_mixing, url_filters
+from plumbline.llm import chat_format, language_id, minhash_dedup, secret_scans, source_mixing, url_filters
 from plumbline.llm.common import table
 
 
@@ -43,13 +43,29 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scans.BASE), F.sha2(secret_scans.joined(base), 256).alias("base_sha256"), secret_scans.joined(F.col("spans")).alias("spans"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that language models never see: crc32 of the id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    got = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~held_out())
+    return got.select("doc_id", (~F.col("trained")).alias("held_out"), "lang_pred", "score", "rejected", "entropy")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     out = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op8_source_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op7_minhash_dedup, op8_source_mix, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
