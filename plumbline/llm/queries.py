@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, language_id, minhash_dedup, secret_scans, source_mixing, url_filters
+from plumbline.llm import chat_format, embedding_dedup, language_id, minhash_dedup, nearest_neighbours, secret_scans, sentencepiece_codec, source_mixing, url_filters
 from plumbline.llm.common import table
 
 
@@ -43,6 +43,21 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scans.BASE), F.sha2(secret_scans.joined(base), 256).alias("base_sha256"), secret_scans.joined(F.col("spans")).alias("spans"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+#: The vocabulary file; read on the driver only.
+PIECES_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES_PATH) -> DataFrame:
+    """Ids of every whole document, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.load(path), ["doc_id"])
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,7 +80,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op7_minhash_dedup, op8_source_mix, op9_language_id)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours of every vector whose id is divisible by 50."""
+    return nearest_neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op7_minhash_dedup, op8_source_mix, op9_language_id, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
