@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, embedding_dedup, language_id, minhash_dedup, nearest_neighbours, secret_scans, sentencepiece_codec, source_mixing, url_filters
+from plumbline.llm import chat_format, embedding_dedup, language_id, minhash_dedup, nearest_neighbours, secret_scans, sentencepiece_codec, source_mixing, substring_dedup, url_filters
 from plumbline.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES_PATH)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.load(path), ["doc_id"])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,7 +90,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op7_minhash_dedup, op8_source_mix, op9_language_id, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op6_substring_dedup, op7_minhash_dedup, op8_source_mix, op9_language_id, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": r"""
