@@ -4,12 +4,15 @@ A signature has COMPONENTS components of BITS bits each; its distance to another
 differ. It is split into CHUNKS chunks. Two signatures within RADIUS of each other have, by pigeonhole, a chunk with
 at most one error (CHUNKS * 2 > RADIUS), so each chunk is indexed once for every component left out: pairs within the
 radius meet in at least one key, always. At a similarity of exactly 0.75 a pair is within the radius with
-probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond; candidates up
-to ACCEPT go to the exact check.
+probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond. Candidates up to
+ACCEPT, whose FINE further components differ in FINE_ACCEPT at most, go to the exact check; at a similarity of exactly
+0.75 these two limits lose a pair with probability 0.001, at 0.77 with 0.0001.
 
 Documents with one and the same set collapse into a class first, so copies cost nothing afterwards. Then each key
-links its members to its first one only (linear in its size). Keys whose members still lie in different components
-are worked through in a second round, over pairs of different components, which finds every remaining link.
+links its members to one of them only (linear in its size): to the one that shares the most keys with others, which in
+a group of edited copies is the text they stem from. Keys whose members still lie in different components get PIVOTS
+more such rounds, each around the most sharing member outside the first one's component, and then a last one over the
+pairs of different components, each taken in the first key it shares, which finds every remaining link.
 
 Defined results. Null or empty texts and texts without words have an empty set and stand alone. Words are runs of
 other characters than space and U+0009-U+000D with A-Z lower-cased; with fewer than five, all of them are one
@@ -30,7 +33,9 @@ from plumbline.llm import tokens
 from plumbline.llm.common import connected_components, materialize
 
 K_WORDS, SIMILARITY = 5, 0.75
-COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 36
+COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 28
+FINE, FINE_ACCEPT = 128, 49
+PIVOTS = 2
 #: Component ranges of the chunks.
 BOUNDS = [(COMPONENTS * i // CHUNKS, COMPONENTS * (i + 1) // CHUNKS) for i in range(CHUNKS)]
 
@@ -45,7 +50,8 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for a, b in tokens.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
                 sets, offsets = tokens.shingle_sets(part.column(2), K_WORDS)
-                sig = tokens.signatures(sets, offsets, COMPONENTS, BITS)
+                sig = tokens.signatures(sets, offsets, COMPONENTS + FINE, BITS)
+                sig = np.concatenate([sig[:, :COMPONENTS].view(np.uint8), sig[:, COMPONENTS:].astype(np.uint8)], 1)  # two bytes each, then one
                 n = np.diff(offsets)
                 sums = [np.append(np.cumsum(tokens.mix64(sets ^ tokens.U(s)), dtype=tokens.U), tokens.U(0)) for s in (11, 13)]
                 ends = [np.where(offsets > 0, c[offsets - 1], tokens.U(0)) for c in sums]
@@ -59,17 +65,32 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def chunk_keys(sig: Column) -> Column:
-    """array<long>: for each chunk and each of its components, a key of the chunk without that component."""
+    """array<long>: for each component, a key of its chunk without it."""
     part = lambda a, b: F.substring(sig, 2 * a + 1, 2 * (b - a))
-    return F.array(*[F.xxhash64(F.lit(c), F.lit(i), part(a, i), part(i + 1, b)) for c, (a, b) in enumerate(BOUNDS) for i in range(a, b)])
+    return F.array(*[F.xxhash64(F.lit(i), part(a, i), part(i + 1, b)) for a, b in BOUNDS for i in range(a, b)])
 
 
-def distance(a: Column, b: Column) -> Column:
-    """The number of components in which two signatures differ."""
-    same = [(F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2)).cast("int") for i in range(COMPONENTS)]
-    while len(same) > 1:
-        same = [same[i] + same[i + 1] if i + 1 < len(same) else same[i] for i in range(0, len(same), 2)]
-    return F.lit(COMPONENTS) - same[0]
+def first_key(a: Column, b: Column) -> Column:
+    """The place in chunk_keys of the first key two signatures share."""
+    part = lambda x, y: F.substring(a, 2 * x + 1, 2 * (y - x)) == F.substring(b, 2 * x + 1, 2 * (y - x))
+    out = F.lit(None).cast("int")
+    for start, end in reversed(BOUNDS):
+        for i in reversed(range(start, end)):
+            out = F.when(part(start, i) & part(i + 1, end), i).otherwise(out)
+    return out
+
+
+def unequal(a: Column, b: Column, start: int, width: int, n: int) -> Column:
+    """How many of n parts of `width` bytes from byte `start` on differ."""
+    differ = [(F.substring(a, start + width * i + 1, width) != F.substring(b, start + width * i + 1, width)).cast("int") for i in range(n)]
+    while len(differ) > 1:
+        differ = [differ[i] + differ[i + 1] if i + 1 < len(differ) else differ[i] for i in range(0, len(differ), 2)]
+    return differ[0]
+
+
+def close(a: Column, b: Column) -> Column:
+    """The signatures are near enough for the exact check."""
+    return (unequal(a, b, 0, 2, COMPONENTS) <= ACCEPT) & (unequal(a, b, 2 * COMPONENTS, 1, FINE) <= FINE_ACCEPT)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -100,14 +121,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = materialize(signed(docs, doc_id, text), "signed")
     classes = base.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("low"), F.min("sig").alias("sig"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keys = classes.select("cid", F.explode(chunk_keys(F.col("sig"))).alias("key")).repartition("key")
-    first = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead <> last").select("key", "lead")
-    shared = materialize(keys.join(first, "key"), "shared-keys")
+    keys = classes.select("cid", F.posexplode(chunk_keys(F.col("sig"))).alias("slot", "key")).repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(keys.join(sizes, "key"), "shared-keys")
     sig = classes.select("cid", "sig")
     side = lambda name: sig.select(F.col("cid").alias(name), F.col("sig").alias(f"sig_{name}"))
-    near = lambda p: p.join(side("b"), "b").join(side("a"), "a").where(distance(F.col("sig_a"), F.col("sig_b")) <= ACCEPT).select("a", "b")
-    stars = shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    stars = materialize(near(stars), "star-pairs")
+    near = lambda p: p.join(side("b"), "b").join(side("a"), "a").where(close(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
+    # how many key neighbours a class has in all
+    shared = materialize(shared.join(shared.groupBy("cid").agg(F.sum("n").alias("fame")), "cid").select("key", "slot", "cid", "fame"), "famed-keys")
+    pair = lambda p, x, y: p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+    lead = shared.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("lead"))
+    lead = materialize(lead, "leads")
+    stars = materialize(near(pair(shared.join(lead, "key"), "lead", "cid")), "star-pairs")
 
     def fetch(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
@@ -116,19 +141,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         have = have.withColumn("text_key", F.unhex(F.md5("text")))
         return materialize(have.join(need, F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"]), "texts")
 
+    def mixed(parts: DataFrame) -> DataFrame:
+        """The rows of keys whose members lie in several components."""
+        at = shared.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "slot", "cid", "fame", F.coalesce("component", "cid").alias("comp"))
+        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return materialize(at.join(split, "key"), "mixed-keys")
+
+    def add(pairs: DataFrame) -> DataFrame | None:
+        """Checks pairs not checked before; the components with the new links, or None if there are none."""
+        nonlocal links, done
+        new = materialize(pairs.join(done, ["a", "b"], "left_anti"), "new-pairs")
+        done = done.unionByName(new)
+        found = materialize(confirm(new, fetch(new)), "new-links")
+        links = links.unionByName(found)
+        return connected_components(links) if found.limit(1).count() else None
+
+    done = stars
     links = materialize(confirm(stars, fetch(stars)), "star-links")
     parts = connected_components(links)
-    # second round: keys whose members lie in several components
-    at = shared.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
-    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(at.join(split, "key").join(sig, "cid").select("key", "cid", "comp", "sig"), "split-keys")
-    a, b = rest.alias("x"), rest.alias("y")
+    rest = mixed(parts)
+    for _ in range(PIVOTS):
+        led = rest.join(lead, "key")
+        of_lead = led.where("cid = lead").select("key", F.col("comp").alias("lead_comp"))
+        led = led.join(of_lead, "key")
+        pivot = led.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), F.struct(F.col("comp") != F.col("lead_comp"), "fame", "cid")).alias("p"))
+        tries = rest.join(pivot, "key").where("comp <> p.comp").withColumn("pivot", F.col("p.cid"))
+        parts = add(near(pair(tries, "pivot", "cid"))) or parts
+        rest = mixed(parts)
+    rest = materialize(rest.join(sig, "cid").select("key", "slot", "cid", "comp", "sig"), "split-keys")
+    x, y = rest.alias("x"), rest.alias("y")
+    once = F.col("x.slot") == first_key(F.col("x.sig"), F.col("y.sig"))
     fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-    more = a.join(b, fits & (distance(F.col("x.sig"), F.col("y.sig")) <= ACCEPT)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    more = materialize(more.join(stars, ["a", "b"], "left_anti"), "split-pairs")
-    if more.limit(1).count():
-        links = links.unionByName(materialize(confirm(more, fetch(more)), "split-links"))
-        parts = connected_components(links)
+    more = x.join(y, fits & close(F.col("x.sig"), F.col("y.sig")) & once).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    parts = add(more) or parts
     comp = classes.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cls", "low", F.coalesce("component", "cid").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("low").alias("component_id"))
     comp = comp.join(least, "comp").select("cls", "component_id")
