@@ -23,6 +23,15 @@ def rank(severity: Column) -> Column:
     return out
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over at least as many partitions as there are cores: an input of a file or two would keep one core busy.
+
+    Inputs that have enough partitions pass unchanged, so nothing large is ever shuffled here.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def run_rules(docs: DataFrame, some: Iterable[Rule]) -> DataFrame:
     """Findings of the rules with their default severities, unordered; docs(path, text[, markdown])."""
     some = list(some)

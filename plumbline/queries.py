@@ -67,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), "text")
     fixed = spark.createDataFrame(FIXTURES, "path string, text string, markdown boolean")
     # the mask runs on the fixtures alone
-    return docs, fixed
+    return engine.spread(docs), fixed.coalesce(1)
 
 
 def over(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -106,7 +106,7 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as replies: the source stands for the model, the language for its family; texts of odd ids modulo 50 fail."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = engine.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     bad = F.col("doc_id") % 50 == 7
     return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("model"), F.col("lang").alias("family"), F.col("text").alias("output"), F.when(bad, F.concat(F.lit("failed\n"), "doc_id")).alias("err"))
 
