@@ -60,6 +60,7 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in prints], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["doc_id", "text_key", "n_shingles", "cls", "sig"],
                 )
+            tokens.release()
 
     return rows.mapInArrow(sign, f"doc_id {kind.simpleString()}, text_key binary, n_shingles long, cls binary, sig binary")
 
@@ -112,6 +113,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good[i] = 100 * both >= round(100 * SIMILARITY) * (len(x) + len(y) - both)
                 yield part.filter(pa.array(good)).select(["a", "b"])
+            tokens.release()
 
     return both.mapInArrow(check, "a long, b long")
 

@@ -224,6 +224,7 @@ def encode(docs: DataFrame, pieces: Pieces, keep: list[str], text: str = "text")
                 same = pc.equal(decode_ids(coder.p, ids, offsets), pc.fill_null(part.column(at), "").cast(pa.large_string()))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([*part.columns[:at], lists, pa.array(np.diff(offsets)), same], names=[*keep, "ids", "n_tokens", "exact"])
+            tokens.release()
 
     return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long, exact boolean")
 
