@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = add(more) or parts
     comp = classes.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cls", "low", F.coalesce("component", "cid").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("low").alias("component_id"))
-    comp = comp.join(least, "comp").select("cls", "component_id")
+    comp = comp.join(materialize(least, "component-ids"), "comp").select("cls", "component_id")
     out = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(comp, "cls", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
