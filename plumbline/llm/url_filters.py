@@ -131,7 +131,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     prior = float(np.log((docs["block"] + 1) / (docs["allow"] + 1))) if docs["block"] + docs["allow"] else -1.0
     weight = F.log((F.col("block") + 1.0) / (sums["block"] + sums["v"] + 1.0)) - F.log((F.col("allow") + 1.0) / (sums["allow"] + sums["v"] + 1.0))
     weights = model.select("token", weight.alias("weight"))
-    scored = lambda t, on, to: t.join(weights, "token").groupBy(on).agg(F.sum(F.col("k") * F.col("weight")).alias(to))
+    # written first: Spark then knows their size and broadcasts them, or else joins by splittable shuffles
+    scored = lambda t, on, to: materialize(t.join(weights, "token").groupBy(on).agg(F.sum(F.col("k") * F.col("weight")).alias(to)), f"{on}-scores")
     out = rows.join(scored(host_tokens, "host", "hs"), "host", "left").join(scored(shape_tokens, "shape", "ss"), "shape", "left")
     score = F.coalesce("hs", F.lit(0.0)) + F.coalesce("ss", F.lit(0.0)) + F.lit(prior)
     return out.select(
