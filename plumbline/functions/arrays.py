@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Arrays up to this size are summed in one run.
+FEW = 48
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once a row.
 
@@ -24,7 +28,7 @@ def _before(arr: Column) -> Column:
 
 def offsets(lengths: Column) -> Column:
     """For array<int>: the sum of all elements before each one, in runs of about the square root of the size."""
-    return let(lengths, _offsets)
+    return let(lengths, lambda a: F.when(F.size(a) <= FEW, _before(a)["sums"]).otherwise(_offsets(a)))
 
 
 def _offsets(lengths: Column) -> Column:

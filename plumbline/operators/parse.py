@@ -1,6 +1,6 @@
 """Text to lines, blocks, tokens and sentences, row by row.
 
-No step shuffles: a document's lines are grouped into blocks, a block is tokenized as one string, and its tokens are
+No step shuffles: a document's lines are grouped into blocks, each line is cut into tokens, and a block's tokens are
 cut into sentences by a regular expression over one letter per token. Rows only fan out (blocks, then sentences).
 """
 
@@ -13,8 +13,8 @@ from plumbline.functions.arrays import let, offsets
 
 #: Lines that hold nothing but Unicode white space.
 BLANK = r"^[\s\x85\p{Z}]*$"
-#: Words and numbers joined by ' ’ or -, runs of blanks, or any one character. The pieces make up the whole text.
-PIECE = r"(?s)[\p{L}\p{Nd}]+(?:['’\-][\p{L}\p{Nd}]+)*|[ \t]+|."
+#: Words and numbers joined by ' ’ or -, or any one character, each with the blanks behind it. The pieces make up the whole line.
+PIECE = r"(?s)(?:[\p{L}\p{Nd}]+(?:['’\-][\p{L}\p{Nd}]+)*|.)[ \t]*+"
 TOKEN = "struct<text:string,lower:string,kind:string,line:int,col:int,end_line:int,end_col:int>"
 
 
@@ -29,12 +29,18 @@ def plain_lines(text: Column) -> Column:
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
-    """docs(path, text, markdown) plus prose; rows with markdown true go through the Markdown mask, if there are any."""
+    """docs(path, text) plus prose, its lines: plain ones, or masked where docs has a markdown column that says so.
+
+    docs that have prose already keep it. The mask is Python; only texts that need it are handed over.
+    """
     from plumbline.sources.markdown import mask
 
+    if "prose" in docs.columns:
+        return docs.select("path", "text", "prose")
     if "markdown" not in docs.columns:
         return docs.select("path", "text", plain_lines(F.col("text")).alias("prose"))
-    prose = F.when(F.coalesce("markdown", F.lit(False)), mask(F.col("text"))).otherwise(plain_lines(F.col("text")))
+    masked = F.coalesce("markdown", F.lit(False))
+    prose = F.when(masked, F.coalesce(mask(F.when(masked, F.col("text"))), plain_lines(F.lit("")))).otherwise(plain_lines(F.col("text")))
     return docs.select("path", "text", prose.alias("prose"))
 
 
@@ -44,33 +50,42 @@ def lines(docs: DataFrame) -> DataFrame:
     return both.select("path", F.col("x.p.line").alias("line"), F.col("x.src").alias("src"), F.col("x.p.masked").alias("masked"), F.col("x.p.kind").alias("kind"), F.col("x.p.blank").alias("blank"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(path, block_id, block_kind, start, n_lines, body): runs of lines without a blank one; a heading or list line stands alone."""
+def block_lines(docs: DataFrame) -> DataFrame:
+    """(path, block_id, block_kind, prose): runs of lines without a blank one; a heading or list line stands alone."""
     letter = lambda p: F.when(p["blank"], "b").when(p["kind"] == "heading", "h").when(p["kind"] == "list", "l").otherwise("p")
     rows = with_lines(docs).withColumn("shape", F.array_join(F.transform("prose", letter), ""))
     rows = rows.withColumn("runs", F.regexp_extract_all("shape", F.lit("p+|h|l|b"), F.lit(0)))
     rows = rows.withColumn("at", offsets(F.transform("runs", lambda r: F.length(r))))
     spans = F.filter(F.zip_with("runs", "at", lambda r, a: F.struct(r.alias("run"), a.alias("at"))), lambda x: ~x["run"].startswith("b"))
     rows = rows.select("path", "prose", F.posexplode(spans).alias("block_id", "x"))
-    body = F.array_join(F.transform(F.slice("prose", F.col("x.at") + 1, F.length("x.run")), lambda p: p["masked"]), "\n")
     kind = F.when(F.col("x.run") == "h", "heading").when(F.col("x.run") == "l", "list").otherwise("paragraph")
-    return rows.select("path", "block_id", kind.alias("block_kind"), (F.col("x.at") + 1).alias("start"), F.length("x.run").alias("n_lines"), body.alias("body"))
+    return rows.select("path", "block_id", kind.alias("block_kind"), F.slice("prose", F.col("x.at") + 1, F.length("x.run")).alias("prose"))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(path, block_id, block_kind, start, n_lines, body) of every block."""
+    body = F.array_join(F.transform("prose", lambda p: p["masked"]), "\n")
+    return block_lines(docs).select("path", "block_id", "block_kind", F.element_at("prose", 1)["line"].alias("start"), F.size("prose").alias("n_lines"), body.alias("body"))
+
+
+def line_tokens(prose: Column) -> Column:
+    """The tokens of one line: its pieces at their offsets; blanks that open the line are a piece of their own, left out."""
+
+    def token(x: Column) -> Column:
+        text, col = F.rtrim(x["text"], F.lit(" \t")), x["at"] + 1
+        kind = F.when(F.rlike(text, F.lit(r"^\p{L}")), "word").when(F.rlike(text, F.lit(r"^\p{Nd}")), "number").otherwise("punct")
+        return F.struct(text.alias("text"), F.lower(text).alias("lower"), kind.alias("kind"), prose["line"].alias("line"), col.alias("col"), prose["line"].alias("end_line"), (col + F.length(text)).alias("end_col"))
+
+    def placed(pieces: Column) -> Column:
+        both = F.zip_with(pieces, offsets(F.transform(pieces, lambda p: F.length(p))), lambda p, a: F.struct(p.alias("text"), a.alias("at")))
+        return F.transform(F.filter(both, lambda x: ~x["text"].startswith(" ") & ~x["text"].startswith("\t")), token)
+
+    return let(F.regexp_extract_all(prose["masked"], F.lit(PIECE), F.lit(0)), placed)
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
     """(path, block_id, block_kind, toks): the tokens of every block in order."""
-    rows = blocks(docs).withColumn("pieces", F.regexp_extract_all("body", F.lit(PIECE), F.lit(0)))
-    rows = rows.withColumn("off", offsets(F.transform("pieces", lambda p: F.length(p))))
-    rows = rows.withColumn("row", offsets(F.transform("pieces", lambda p: (p == "\n").cast("int"))))
-    rows = rows.withColumn("base", offsets(F.transform(F.split("body", "\n", -1), lambda s: F.length(s) + 1)))
-    zipped = F.filter(F.arrays_zip("pieces", "off", "row"), lambda x: ~F.substring(x["pieces"], 1, 1).isin(" ", "\t", "\n"))
-
-    def token(base: Column, x: Column) -> Column:
-        text, line, col = x["pieces"], F.col("start") + x["row"], x["off"] - F.get(base, x["row"]) + 1
-        kind = F.when(F.rlike(text, F.lit(r"^\p{Nd}")), "number").when(F.rlike(text, F.lit(r"^\p{L}")), "word").otherwise("punct")
-        return F.struct(text.alias("text"), F.lower(text).alias("lower"), kind.alias("kind"), line.alias("line"), col.alias("col"), line.alias("end_line"), (col + F.length(text)).alias("end_col"))
-
-    return rows.select("path", "block_id", "block_kind", let(F.col("base"), lambda base: F.transform(zipped, lambda x: token(base, x))).alias("toks"))
+    return block_lines(docs).select("path", "block_id", "block_kind", F.flatten(F.transform("prose", line_tokens)).alias("toks"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

@@ -223,8 +223,8 @@ UTF16 = lambda l, c: f"cast(case when {c} <= 1 then 0 else length(substring({l},
 REPLY = f"""
 per as (select path, rule_id, count(*) as n from kept group by path, rule_id),
 replies as (
-    select doc_id as seq, source as model, lang as family, case when doc_id % 50 = 7 then null else len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) end as words,
-        case when doc_id % 50 = 7 then 'failed ' || doc_id end as err from documents),
+    select doc_id as seq, source as model, lang as family, case when coalesce(length(text), 0) < 60 then null else len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) end as words,
+        case when coalesce(length(text), 0) < 60 then 'too short ' || doc_id end as err from documents),
 counted as (
     select r.*, p.rule_id, p.n from replies r left join per p on p.path = 'doc:' || r.seq and r.err is null),
 models as (

@@ -62,18 +62,17 @@ DISABLED = ["STE.IngForms", "STE.SlopNominalization"]
 FENCED = ["```md\nfixed\n```", "plain", "```\nonly", "text\n```", "```\n\n  x\n``` "]
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All documents, as plain text, and the fixtures."""
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, prose) of all documents, as plain text, and of the fixtures."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), "text")
     fixed = spark.createDataFrame(FIXTURES, "path string, text string, markdown boolean")
     # the mask runs on the fixtures alone
-    return engine.spread(docs), fixed.coalesce(1)
+    return parse.with_lines(engine.spread(docs)).unionByName(parse.with_lines(fixed.coalesce(1)))
 
 
 def over(spark: SparkSession, sf_dir: str, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """plan over documents and over fixtures, together."""
-    docs, fixed = corpus(spark, sf_dir)
-    return plan(docs).unionByName(plan(fixed))
+    """plan over documents and fixtures."""
+    return plan(corpus(spark, sf_dir))
 
 
 def parsed(plan: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -94,8 +93,7 @@ def lint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, fixed = corpus(spark, sf_dir)
-    return docs.unionByName(fixed.drop("markdown"))
+    return corpus(spark, sf_dir).select("path", "text")
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +103,10 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as replies: the source stands for the model, the language for its family; texts of odd ids modulo 50 fail."""
+    """Documents as replies: the source stands for the model, the language for its family; replies below 60 characters count as failed."""
     docs = engine.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
-    bad = F.col("doc_id") % 50 == 7
-    return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("model"), F.col("lang").alias("family"), F.col("text").alias("output"), F.when(bad, F.concat(F.lit("failed\n"), "doc_id")).alias("err"))
+    bad = F.coalesce(F.length("text"), F.lit(0)) < 60
+    return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("model"), F.col("lang").alias("family"), F.col("text").alias("output"), F.when(bad, F.concat(F.lit("too short\n"), "doc_id")).alias("err"))
 
 
 def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
