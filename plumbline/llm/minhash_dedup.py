@@ -36,6 +36,7 @@ K_WORDS, SIMILARITY = 5, 0.75
 COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 28
 FINE, FINE_ACCEPT = 128, 49
 PIVOTS = 2
+BLOCK = 512
 #: Component ranges of the chunks.
 BOUNDS = [(COMPONENTS * i // CHUNKS, COMPONENTS * (i + 1) // CHUNKS) for i in range(CHUNKS)]
 
@@ -71,16 +72,64 @@ def chunk_keys(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), part(a, i), part(i + 1, b)) for a, b in BOUNDS for i in range(a, b)])
 
 
-def first_key(a: Column, b: Column) -> Column:
-    """The place in chunk_keys of the first key two signatures share."""
-    part = lambda x, y: F.substring(a, 2 * x + 1, 2 * (y - x)) == F.substring(b, 2 * x + 1, 2 * (y - x))
-    out = F.lit(None).cast("int")
+def first_keys(equal: np.ndarray) -> np.ndarray:
+    """equal[pairs, COMPONENTS]: the place in chunk_keys of the first key each pair shares, COMPONENTS if it shares none."""
+    out = np.full(len(equal), COMPONENTS)
     for start, end in reversed(BOUNDS):
+        missing = end - start - equal[:, start:end].sum(1)
         for i in reversed(range(start, end)):
-            out = F.when(part(start, i) & part(i + 1, end), i).otherwise(out)
+            out[missing == 1 - equal[:, i].astype(int)] = i
+            out[missing == 0] = i
     return out
 
 
+def close_pairs(slot: np.ndarray, ids: list[np.ndarray], comps: list[np.ndarray], sigs: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks of one key's members: the pairs of different components that are close and share no earlier key."""
+    (a, b), fine = [s[:, : 2 * COMPONENTS].copy().view(np.uint16) for s in sigs], [s[:, 2 * COMPONENTS :] for s in sigs]
+    out = []
+    for at in range(0, len(a), 128):
+        differ = np.zeros((min(128, len(a) - at), len(b)), np.uint8)
+        for k in range(COMPONENTS):
+            differ += a[at : at + 128, k, None] != b[None, :, k]
+        ok = (differ <= ACCEPT) & (comps[0][at : at + 128, None] != comps[1][None])
+        if same:
+            ok &= np.arange(at, at + len(ok))[:, None] < np.arange(len(b))[None]
+        i, j = np.nonzero(ok)
+        i += at
+        near = (fine[0][i] != fine[1][j]).sum(1) <= FINE_ACCEPT
+        i, j = i[near], j[near]
+        once = first_keys(a[i] == b[j]) == slot[i]
+        out.append((ids[0][i[once]], ids[1][j[once]]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def split_pairs(rest: DataFrame) -> DataFrame:
+    """(a, b) of rest(key, slot, cid, comp, sig): all close pairs of different components under one key.
+
+    A key's members go to blocks of about BLOCK, and pairs of blocks to tasks; only close pairs leave them.
+    """
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    rows = rest.join(materialize(sizes, "key-parts"), "key").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    blocks = materialize(rows.groupBy("key", "part").agg(F.first("slot").alias("slot"), F.collect_list(F.struct("cid", "comp", "sig")).alias("m")), "key-blocks")
+    a = blocks.select("key", F.col("part").alias("pa"), "slot", F.col("m").alias("ma"))
+    b = blocks.select("key", F.col("part").alias("pb"), F.col("m").alias("mb"))
+    pairs = a.join(b, "key").where("pa <= pb").select("slot", (F.col("pa") == F.col("pb")).alias("same"), "ma", "mb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for n in range(len(batch)):
+                sides = [batch.column(c)[n].values for c in (2, 3)]
+                ids, comps = ([x.field(f).to_numpy() for x in sides] for f in ("cid", "comp"))
+                sigs = [np.frombuffer(b"".join(x.field("sig").to_pylist()), np.uint8).reshape(len(x), -1) for x in sides]
+                slot = np.full(len(ids[0]), batch.column(0)[n].as_py())
+                found.append(close_pairs(slot, ids, comps, sigs, batch.column(1)[n].as_py()))
+            x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def unequal(a: Column, b: Column, start: int, width: int, n: int) -> Column:
     """How many of n parts of `width` bytes from byte `start` on differ."""
     differ = [(F.substring(a, start + width * i + 1, width) != F.substring(b, start + width * i + 1, width)).cast("int") for i in range(n)]
@@ -171,10 +220,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         parts = add(near(pair(tries, "pivot", "cid"))) or parts
         rest = mixed(parts)
     rest = materialize(rest.join(sig, "cid").select("key", "slot", "cid", "comp", "sig"), "split-keys")
-    x, y = rest.alias("x"), rest.alias("y")
-    once = F.col("x.slot") == first_key(F.col("x.sig"), F.col("y.sig"))
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.comp") != F.col("y.comp"))
-    more = x.join(y, fits & close(F.col("x.sig"), F.col("y.sig")) & once).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    more = split_pairs(rest)
     parts = add(more) or parts
     comp = classes.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cls", "low", F.coalesce("component", "cid").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("low").alias("component_id"))
