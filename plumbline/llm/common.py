@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_SQL = r"[^\\x20\\x09-\\x0D]+"
 
 
+_OWN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,10 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-plumbline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if not base and not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-plumbline-"))
+    return (base or _OWN[0]).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
