@@ -5,8 +5,8 @@ differ. It is split into CHUNKS chunks. Two signatures within RADIUS of each oth
 at most one error (CHUNKS * 2 > RADIUS), so each chunk is indexed once for every component left out: pairs within the
 radius meet in at least one key, always. At a similarity of exactly 0.75 a pair is within the radius with
 probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond. Candidates up to
-ACCEPT, whose FINE further components differ in FINE_ACCEPT at most, go to the exact check; at a similarity of exactly
-0.75 these two limits lose a pair with probability 0.001, at 0.77 with 0.0001.
+ACCEPT, which with FINE further components differ in TOTAL_ACCEPT of all at most, go to the exact check; at a
+similarity of exactly 0.75 these limits lose a pair with probability 0.0005, at 0.77 with 0.00003.
 
 Documents with one and the same set collapse into a class first, so copies cost nothing afterwards. Then each key
 links its members to one of them only (linear in its size): to the one that shares the most keys with others, which in
@@ -33,8 +33,8 @@ from plumbline.llm import tokens
 from plumbline.llm.common import connected_components, materialize
 
 K_WORDS, SIMILARITY = 5, 0.75
-COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 28
-FINE, FINE_ACCEPT = 128, 49
+COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 30
+FINE, TOTAL_ACCEPT = 128, 68
 PIVOTS = 2
 BLOCK = 512
 #: Component ranges of the chunks.
@@ -95,8 +95,9 @@ def close_pairs(slot: np.ndarray, ids: list[np.ndarray], comps: list[np.ndarray]
         if same:
             ok &= np.arange(at, at + len(ok))[:, None] < np.arange(len(b))[None]
         i, j = np.nonzero(ok)
+        first = differ[i, j].astype(int)
         i += at
-        near = (fine[0][i] != fine[1][j]).sum(1) <= FINE_ACCEPT
+        near = first + (fine[0][i] != fine[1][j]).sum(1) <= TOTAL_ACCEPT
         i, j = i[near], j[near]
         once = first_keys(a[i] == b[j]) == slot[i]
         out.append((ids[0][i[once]], ids[1][j[once]]))
@@ -140,7 +141,8 @@ def unequal(a: Column, b: Column, start: int, width: int, n: int) -> Column:
 
 def close(a: Column, b: Column) -> Column:
     """The signatures are near enough for the exact check."""
-    return (unequal(a, b, 0, 2, COMPONENTS) <= ACCEPT) & (unequal(a, b, 2 * COMPONENTS, 1, FINE) <= FINE_ACCEPT)
+    first = unequal(a, b, 0, 2, COMPONENTS)
+    return (first <= ACCEPT) & (first + unequal(a, b, 2 * COMPONENTS, 1, FINE) <= TOTAL_ACCEPT)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
