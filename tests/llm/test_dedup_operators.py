@@ -171,3 +171,15 @@ def test_language(spark):
     assert not any(got[i].rejected for i in range(240)) and got[1000].rejected
     assert language_id.identify(df.limit(0), F.lit(True)).count() == 0
     assert {r.lang_pred for r in language_id.identify(df, F.lit(False)).collect()} == {"und"}
+
+
+def test_passages_of_frequent_sentences(spark):
+    """A passage of two sentences that each stand in documents of smaller text id as well."""
+    rng = random.Random(11)
+    make = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
+    one, two = make(30), make(30)
+    docs = [make(40) + (one, two)[i % 2] + make(40) for i in range(40)] + [make(40) + one + two + make(40) for _ in range(2)] + [make(100) for _ in range(5)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(40, 41), (41, 40)}
+    assert all(r.start <= 42 and r.end >= 98 for r in rows)
