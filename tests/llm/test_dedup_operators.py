@@ -183,3 +183,21 @@ def test_passages_of_frequent_sentences(spark):
     rows = substring_dedup.repeated_passages(df).collect()
     assert {(r.doc_id, r.other_id) for r in rows} == {(40, 41), (41, 40)}
     assert all(r.start <= 42 and r.end >= 98 for r in rows)
+
+
+def test_passages_of_similarity(spark):
+    """Copies of 60 to 100 words with 10 to 20 % of the words changed, evenly or at random, against the diagonal by brute force."""
+    rng = random.Random(12)
+    make = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    docs, pairs = [], []
+    for i in range(240):
+        share, n = (0.1, 0.125, 0.15, 0.2)[i % 4], (60, 100)[i // 4 % 2]
+        p = make(n)
+        q = [f"x{rng.randrange(10**6)}" if (int((j + 1) * share) > int(j * share) if i % 3 == 0 else rng.random() < share) else w for j, w in enumerate(p)]
+        equal = np.concatenate([[0], np.cumsum([a == b for a, b in zip(p, q, strict=True)])])
+        if any(equal[y] - equal[x] >= 0.75 * (y - x) for x in range(n) for y in range(x + 50, n + 1)):
+            pairs.append((len(docs), len(docs) + 1))
+        docs += [make(30) + p + make(30), make(20) + q + make(40)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert len(got & set(pairs)) >= 0.97 * len(pairs)
