@@ -2,7 +2,7 @@
 
 Texts are lower-cased and cut into words of letters; a word is modelled with a mark on either side, by characters of
 up to ORDER - 1 predecessors. Counting runs over all training rows: tasks count n-grams of their rows and Spark sums
-them and their continuation counts. The summed model, bounded by MAX_ENTRIES, is broadcast as sorted arrays. A text gets
+them and their continuation counts. The summed model, every n-gram of it, is broadcast as sorted arrays. A text gets
 the language of the lowest cross-entropy per character. Confidence is a softmax whose temperature, and rejection is a
 limit of entropy, both fitted on the training rows' own scores.
 
@@ -27,8 +27,6 @@ from plumbline.llm.common import materialize
 
 ORDER = 4
 UND = "und"
-#: Most n-grams a model may hold; beyond it the rarest of the orders above one are pruned by a rising count.
-MAX_ENTRIES = 4_000_000
 TEMPERATURES = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
 #: Rejection: entropy above the language's mean by so many deviations, which shrink with the root of the length, and bits.
 REJECT_DEVIATIONS, REJECT_BITS = 6.0, 1.0
@@ -221,10 +219,6 @@ class Model:
 def fit(rows: DataFrame) -> Model:
     """Models of the languages in rows(text, lang), by counts over all of them."""
     grams = materialize(count_grams(rows.where("lang is not null")), "grams")
-    for cut in (1, 2, 4, 8, 16, 32, 64, 128, 256, 1024, 8192, 1 << 62):
-        grams = grams.where((F.col("n") == 1) | (F.col("k") >= cut))
-        if grams.count() <= MAX_ENTRIES:
-            break
     lefts = grams.where("n > 1").groupBy("lang", (F.col("n") - 1).alias("n"), F.col("suffix").alias("h")).agg(F.count("*").alias("left"))
     raw = (F.col("n") == ORDER) | F.col("opens")
     adj = grams.join(lefts, ["lang", "n", "h"], "left").withColumn("c", F.when(raw, F.col("k")).otherwise(F.coalesce("left", "k")).cast("double"))

@@ -201,3 +201,14 @@ def test_passages_of_similarity(spark):
     df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
     got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(df).collect()}
     assert len(got & set(pairs)) >= 0.97 * len(pairs)
+
+
+def test_language_model_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_ENTRIES", 50, raising=False)
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 7))) for _ in range(400)]
+    model = language_id.fit(spark.createDataFrame([(" ".join(words), "en")], "text string, lang string"))
+    for n in (2, 3, 4):
+        grams = {f"^{w}$"[i : i + n] for w in words for i in range(len(w) + 3 - n)}
+        probable = (model.tables[n].values["p"][:-1] > 0).sum()
+        assert probable == len(grams)
