@@ -4,9 +4,9 @@ A signature has COMPONENTS components of BITS bits each; its distance to another
 differ. It is split into CHUNKS chunks. Two signatures within RADIUS of each other have, by pigeonhole, a chunk with
 at most one error (CHUNKS * 2 > RADIUS), so each chunk is indexed once for every component left out: pairs within the
 radius meet in at least one key, always. At a similarity of exactly 0.75 a pair is within the radius with
-probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond. Candidates up to
-ACCEPT, which with FINE further components differ in TOTAL_ACCEPT of all at most, go to the exact check; at a
-similarity of exactly 0.75 these limits lose a pair with probability 0.0005, at 0.77 with 0.00003.
+probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond. Candidates within
+RADIUS all go to the exact check, and of those up to ACCEPT the ones that with FINE further components differ in
+TOTAL_ACCEPT of all at most.
 
 Documents with one and the same set collapse into a class first, so copies cost nothing afterwards. Then each key
 links its members to one of them only (linear in its size): to the one that shares the most keys with others, which in
@@ -97,7 +97,7 @@ def close_pairs(slot: np.ndarray, ids: list[np.ndarray], comps: list[np.ndarray]
         i, j = np.nonzero(ok)
         first = differ[i, j].astype(int)
         i += at
-        near = first + (fine[0][i] != fine[1][j]).sum(1) <= TOTAL_ACCEPT
+        near = (first <= RADIUS) | (first + (fine[0][i] != fine[1][j]).sum(1) <= TOTAL_ACCEPT)
         i, j = i[near], j[near]
         once = first_keys(a[i] == b[j]) == slot[i]
         out.append((ids[0][i[once]], ids[1][j[once]]))
@@ -142,7 +142,7 @@ def unequal(a: Column, b: Column, start: int, width: int, n: int) -> Column:
 def close(a: Column, b: Column) -> Column:
     """The signatures are near enough for the exact check."""
     first = unequal(a, b, 0, 2, COMPONENTS)
-    return (first <= ACCEPT) & (first + unequal(a, b, 2 * COMPONENTS, 1, FINE) <= TOTAL_ACCEPT)
+    return (first <= RADIUS) | ((first <= ACCEPT) & (first + unequal(a, b, 2 * COMPONENTS, 1, FINE) <= TOTAL_ACCEPT))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

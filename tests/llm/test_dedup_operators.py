@@ -203,6 +203,19 @@ def test_passages_of_similarity(spark):
     assert len(got & set(pairs)) >= 0.97 * len(pairs)
 
 
+def test_minhash_radius(spark):
+    """A pair within RADIUS goes to the exact check, however many of the further components differ."""
+    m = minhash_dedup
+    sig = [np.zeros(2 * m.COMPONENTS + m.FINE, np.uint8), np.ones(2 * m.COMPONENTS + m.FINE, np.uint8)]
+    sig[1][: 2 * (m.COMPONENTS - m.RADIUS)] = 0
+    df = spark.createDataFrame([tuple(bytes(s) for s in sig)], "a binary, b binary")
+    assert df.select(m.close(F.col("a"), F.col("b"))).first()[0]
+    sigs = [s[None] for s in sig]
+    equal = sigs[0][:, : 2 * m.COMPONENTS].copy().view(np.uint16) == sigs[1][:, : 2 * m.COMPONENTS].copy().view(np.uint16)
+    ids = [np.array([1]), np.array([2])]
+    assert len(m.close_pairs(m.first_keys(equal), ids, ids, sigs, False)[0]) == 1
+
+
 def test_language_model_is_whole(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_ENTRIES", 50, raising=False)
     rng = random.Random(13)
