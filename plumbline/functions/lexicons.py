@@ -1,9 +1,11 @@
 """Word lists of the prose rules.
 
-Fixed values: the entries must be these for right findings. Substitutions are an excerpt of the OpenSTE wordset (MIT
-licence, (c) openSTE.org, see LICENSE-DATA.md); the whole wordset is a parameter, read by sources.wordset.
+Fixed values: the entries must be these for right findings. Substitutions and technical terms are in openste.py (MIT
+licence, (c) openSTE.org, see LICENSE-DATA.md); another wordset is a parameter, read by sources.wordset.
 """
 
+from plumbline.functions.openste import SUBSTITUTIONS, TECHNICAL_TERMS  # noqa: F401
+
 CONTRACTIONS = {
     "aren't": "are not", "can't": "cannot", "couldn't": "could not", "didn't": "did not", "doesn't": "does not",
     "don't": "do not", "hadn't": "had not", "hasn't": "has not", "haven't": "have not", "he'd": "he had / he would",
@@ -41,38 +43,11 @@ PHRASAL_VERBS = {
     "set up": "install or prepare", "shut down": "stop", "take out": "remove", "turn off": "stop", "turn on": "start",
 }
 
-#: An excerpt; pass the whole wordset as a parameter.
-SUBSTITUTIONS = {
-    "abandon": ["stop"], "able": ["can", "possible"], "abnormal": ["unusual", "incorrect"], "abnormality": ["defect"],
-    "abrupt": ["sudden", "suddenly"], "absence": ["none", "not", "no"], "absent": ["missing", "no"],
-    "absolutely": ["fully"], "absorption": ["absorb"], "abundant": ["large"], "abut": ["touch"],
-    "accelerate": ["increase", "faster"], "acceptable": ["permitted", "satisfactory", "serviceable"],
-    "acceptance": ["accept"], "accessible": ["access"], "accommodate": ["let"],
-    "accomplish": ["do", "complete", "or use a more specific command verb"], "according to": ["refer", "tell"],
-    "account for": ["make sure"], "accumulate": ["collect"], "accuracy": ["precision"], "achieve": ["get"],
-    "acquire": ["get"], "additional": ["more"], "advise": ["tell", "recommend"], "allow": ["let"],
-    "as": ["because", "while"], "as to": ["about"], "commence": ["start"], "comprise": ["have", "contain"],
-    "consist of": ["have"], "determine": ["find", "give", "choose", "calculate", "make sure", "tell you"],
-    "due to": ["because of", "because"], "furnish": ["give", "supply"], "gain": ["get", "increase"],
-    "generate": ["be", "give", "supply"], "hook up": ["connect"], "incorporate": ["include", "have"], "like": ["as"],
-    "obtain": ["get"], "over": ["above", "along", "on", "across", "more than"], "pour": ["put"],
-    "prior to": ["before"], "provide": ["give", "supply"], "take": ["remove", "read", "get", "necessary"],
-    "thin": ["liquid"], "top up": ["fill", "add"], "up to": ["until", "thru", "maximum"], "upon": ["on", "when"],
-    "utilize": ["use"], "wrong": ["incorrect"], "wrongly": ["incorrectly"], "yet": ["but", "time"],
-}
-
 BARE_WORDS = """
     abrasive adjacent bolt brush cap center damage dent filter focus generous generously gouge graph guard hold hum
     kink loop opportunity overhaul plot pump recess sample significant stamp tape time undertake warm work
     zero""".split()
 
-#: An excerpt of the built-in technical terms, which are always allowed; more are a parameter.
-TECHNICAL_TERMS = """
-    commit branch merge rebase checkout clone fork push pull stash tag diff hash build compile bundle lint linter
-    deploy release rollback pipeline artifact runner workflow job code function method class module package variable
-    parameter string array object api endpoint request response payload schema query header cache token session
-    cookie config flag runtime dependency framework library generate annotation""".split()
-
 OPENAI, ANTHROPIC, SHARED = "OpenAI", "Anthropic", "cross-family"
 SLOP_WORDS = dict.fromkeys(
     """delve delves delving delved underscore underscores showcasing showcase intricate meticulous meticulously pivotal

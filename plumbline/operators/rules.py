@@ -55,11 +55,14 @@ def say(*parts: Column | str) -> Column:
 def among(values: Iterable[str]) -> Callable[[Column], Column]:
     """Membership in a fixed list; an empty list has no members."""
     values = sorted(values)
+    if len(values) > 100 and not any("," in v for v in values):  # one literal, as tasks carry every copy of the list
+        return lambda c: F.find_in_set(c, F.lit(",".join(values))) > 0
     return lambda c: c.isin(*values) if values else F.lit(False)
 
 
 def choice(table: dict[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), key)
+    """The value of a key; the table is one literal, as a whole word list as literals of its own takes long to plan."""
+    return F.element_at(F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in sorted(table.items()))), F.lit("\x02"), F.lit("\x01")), key)
 
 
 def low(words: Column, i: Column | int) -> Column:

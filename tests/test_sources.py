@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import lexicons
+from plumbline.operators.rules import Settings
 from plumbline import oracle, queries
 from plumbline.operators import evaluation
 from plumbline.plans.config import Config, merge
@@ -48,3 +50,10 @@ def test_stream(spark, tmp_path):
     q = lint_stream.start(changes, lambda f, d, n: seen.append((sorted(r.path for r in f.collect()), sorted(r.path for r in d.collect()))), str(tmp_path / "ck"), availableNow=True)
     q.awaitTermination(120)
     assert seen == [(["b"], ["a", "b", "c"])]
+
+
+def test_word_lists_are_whole():
+    assert (len(lexicons.SUBSTITUTIONS), len(lexicons.BARE_WORDS), len(lexicons.TECHNICAL_TERMS)) == (1030, 33, 246)
+    assert sum(" " in w for w in lexicons.SUBSTITUTIONS) == 43
+    assert (sum(map(len, lexicons.SUBSTITUTIONS.values())), max(map(len, lexicons.SUBSTITUTIONS.values()))) == (1518, 6)
+    assert {"blend", "entire", "heat", "render", "rest", "teach", "under"} <= set(Settings().substitutions)
