@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.arrays import let
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed by Spark's SQL parser: the same class, for use inside SQL string literals.
 WORD_SQL = r"[^\\x20\\x09-\\x0D]+"
@@ -22,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base and not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-plumbline-"))
+        atexit.register(shutil.rmtree, _OWN[0].removeprefix("file://"), ignore_errors=True)
     return (base or _OWN[0]).rstrip("/")
 
 
@@ -42,18 +52,46 @@ def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
     return max(least, -(-df_rows // rows_each))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(id, component) for every id on an edge; component is the smallest id reachable.
-
-    Alternating large-star and small-star rounds. Every round works on (child, parent) rows with map-side
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id each reaches) of the edges a[i] - b[i], by hooking roots and halving paths."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(x):
+        rx, ry = root[x], root[y]
+        open_ = rx != ry
+        x, y, rx, ry = x[open_], y[open_], rx[open_], ry[open_]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while (root != root[root]).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v), u > v: each id of a partition's edges and the smallest it reaches there; holds a row per id, not per edge."""
+    u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        u, v = (np.concatenate([x, batch.column(i).to_numpy().astype(np.int64)]) for i, x in enumerate((u, v)))
+        u, v = forest(u, v)
+        u, v = u[u != v], v[u != v]
+    yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components", edges_each: int = 250_000) -> DataFrame:
+    """(id, component) for every id (long) on an edge; component is the smallest id reachable.
+
+    Every round first shrinks each partition of about edges_each edges to its own spanning stars, without a shuffle.
+    If several partitions are left, a large-star and a small-star step follow, on (child, parent) rows with map-side
     minima, so a vertex that has a third of all edges costs one partial row per task; the joins back are plain
-    equi-joins that adaptive execution splits when a key is hot. The rounds end when the edges repeat.
-    Edges with a null end are left out; an empty input gives an empty result.
+    equi-joins that adaptive execution splits when a key is hot. The rounds end when every child has one parent and
+    no parent is a child. Edges with a null end are left out; an empty input gives an empty result.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    e = materialize(e, name)
-    before = None
+    e = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v"), name)
     while True:
+        parts = partitions_for(e.count(), edges_each)
+        e = materialize(e.coalesce(parts).mapInArrow(_forests, "u long, v long"), name)
+        if parts == 1:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u points to the smallest of u's neighbourhood
@@ -62,23 +100,39 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u <> v").distinct(), name)
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == (now["n"], now["h"]):
+        twice = e.groupBy("u").count().where("count > 1").select("u")
+        inner = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
+        if not twice.unionByName(inner).limit(1).count():
             break
-        before = (now["n"], now["h"])
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _prefix(arr: Column) -> Column:
-    """struct(pre, at): the sums before each element, and the total; quadratic, so for short arrays."""
+def _before(arr: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """struct(pre, at): op over the elements before each one, from 0, and over all; quadratic, so for short arrays."""
     start = F.struct(F.array().cast("array<bigint>").alias("pre"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(arr, start, lambda s, x: F.struct(F.array_append(s["pre"], s["at"]).alias("pre"), (s["at"] + x).alias("at")))
+    return F.aggregate(arr, start, lambda s, x: F.struct(F.array_append(s["pre"], s["at"]).alias("pre"), op(s["at"], x).alias("at")))
 
 
-def running_sum(arr: Column) -> Column:
-    """For array<bigint>: the sum of all elements before each one; in two levels, so n elements cost n**1.5 copies at most."""
+def running(arr: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For array<bigint>: op over all elements before each one, from 0; in two levels, so n elements cost n**1.5 copies at most.
+
+    op is associative and 0 is neutral to it.
+    """
     step = F.greatest(F.ceil(F.sqrt(F.size(arr))), F.lit(1)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(arr), F.lit(1)) - 1, step), lambda i: _prefix(F.slice(arr, i + 1, step)))
-    offsets = _prefix(F.transform(chunks, lambda c: c["at"]))["pre"]
-    return F.flatten(F.zip_with(chunks, offsets, lambda c, o: F.transform(c["pre"], lambda p: p + o)))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(arr), F.lit(1)) - 1, step), lambda i: _before(F.slice(arr, i + 1, step), op))
+
+    def whole(c: Column) -> Column:
+        ahead = _before(F.transform(c, lambda x: x["at"]), op)["pre"]
+        return F.flatten(F.zip_with(c, ahead, lambda x, o: F.transform(x["pre"], lambda p: op(o, p))))
+
+    return let(chunks, whole)
+
+
+def running_sum(arr: Column) -> Column:
+    return running(arr, lambda a, b: a + b)
+
+
+def running_max(arr: Column) -> Column:
+    """The largest element before each one, 0 at least."""
+    return running(arr, lambda a, b: F.greatest(a, b))

@@ -3,16 +3,18 @@
 A signature has COMPONENTS components of BITS bits each; its distance to another is the number of components that
 differ. It is split into CHUNKS chunks. Two signatures within RADIUS of each other have, by pigeonhole, a chunk with
 at most one error (CHUNKS * 2 > RADIUS), so each chunk is indexed once for every component left out: pairs within the
-radius meet in at least one key, always. At a similarity of exactly 0.75 a pair is within the radius with
-probability 0.995, and the keys find it with 0.999998 as they also serve most pairs a little beyond. Candidates within
-RADIUS all go to the exact check, and of those up to ACCEPT the ones that with FINE further components differ in
-TOTAL_ACCEPT of all at most.
+radius meet in at least one key, always. Pairs beyond it that meet are compared up to a distance of ACCEPT, so that
+a pair of exactly the similarity is missed with probability 4e-5.
 
-Documents with one and the same set collapse into a class first, so copies cost nothing afterwards. Then each key
-links its members to one of them only (linear in its size): to the one that shares the most keys with others, which in
-a group of edited copies is the text they stem from. Keys whose members still lie in different components get PIVOTS
-more such rounds, each around the most sharing member outside the first one's component, and then a last one over the
-pairs of different components, each taken in the first key it shares, which finds every remaining link.
+Documents with one and the same set collapse into a class first, so copies cost nothing afterwards. Then
+
+1. each key links its members to one of them (linear in its size): to the one that shares the most keys with others,
+   which in a group of edited copies is the text they stem from. Links count once confirmed on the full sets.
+2. keys whose members still lie in different components are cut into blocks, of which pairs meet in one task: first
+   with signatures alone, which tells the members that have a partner left, then with the full sets of those. A task
+   confirms its pairs and gives the links that join components, one per member at most. No pair leaves a task
+   before it is confirmed, and pairs joined already are skipped. Members of a long key's largest component meet the
+   others only.
 
 Defined results. Null or empty texts and texts without words have an empty set and stand alone. Words are runs of
 other characters than space and U+0009-U+000D with A-Z lower-cased; with fewer than five, all of them are one
@@ -32,11 +34,10 @@ from pyspark.sql import functions as F
 from plumbline.llm import tokens
 from plumbline.llm.common import connected_components, materialize
 
-K_WORDS, SIMILARITY = 5, 0.75
+K_WORDS, PERCENT = 5, 75
 COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 30
-FINE, TOTAL_ACCEPT = 128, 68
-PIVOTS = 2
-BLOCK = 512
+#: Members and bytes of shingle hashes of a block, about; pairs compared at once.
+BLOCK, BLOCK_BYTES, PAIRS = 512, 4_000_000, 1 << 17
 #: Component ranges of the chunks.
 BOUNDS = [(COMPONENTS * i // CHUNKS, COMPONENTS * (i + 1) // CHUNKS) for i in range(CHUNKS)]
 
@@ -51,8 +52,7 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             for a, b in tokens.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
                 sets, offsets = tokens.shingle_sets(part.column(2), K_WORDS)
-                sig = tokens.signatures(sets, offsets, COMPONENTS + FINE, BITS)
-                sig = np.concatenate([sig[:, :COMPONENTS].view(np.uint8), sig[:, COMPONENTS:].astype(np.uint8)], 1)  # two bytes each, then one
+                sig = tokens.signatures(sets, offsets, COMPONENTS, BITS)
                 n = np.diff(offsets)
                 sums = [np.append(np.cumsum(tokens.mix64(sets ^ tokens.U(s)), dtype=tokens.U), tokens.U(0)) for s in (11, 13)]
                 ends = [np.where(offsets > 0, c[offsets - 1], tokens.U(0)) for c in sums]
@@ -83,70 +83,150 @@ def first_keys(equal: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_pairs(slot: np.ndarray, ids: list[np.ndarray], comps: list[np.ndarray], sigs: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of two blocks of one key's members: the pairs of different components that are close and share no earlier key."""
-    (a, b), fine = [s[:, : 2 * COMPONENTS].copy().view(np.uint16) for s in sigs], [s[:, 2 * COMPONENTS :] for s in sigs]
-    out = []
-    for at in range(0, len(a), 128):
-        differ = np.zeros((min(128, len(a) - at), len(b)), np.uint8)
-        for k in range(COMPONENTS):
-            differ += a[at : at + 128, k, None] != b[None, :, k]
-        ok = (differ <= ACCEPT) & (comps[0][at : at + 128, None] != comps[1][None])
-        if same:
-            ok &= np.arange(at, at + len(ok))[:, None] < np.arange(len(b))[None]
-        i, j = np.nonzero(ok)
-        first = differ[i, j].astype(int)
-        i += at
-        near = (first <= RADIUS) | (first + (fine[0][i] != fine[1][j]).sum(1) <= TOTAL_ACCEPT)
-        i, j = i[near], j[near]
-        once = first_keys(a[i] == b[j]) == slot[i]
-        out.append((ids[0][i[once]], ids[1][j[once]]))
-    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-
-def split_pairs(rest: DataFrame) -> DataFrame:
-    """(a, b) of rest(key, slot, cid, comp, sig): all close pairs of different components under one key.
-
-    A key's members go to blocks of about BLOCK, and pairs of blocks to tasks; only close pairs leave them.
+def alike(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) may have the similarity, by the sizes of the sets and the distance of the signatures."""
+    return (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & ((sig[i] != sig[j]).sum(1) <= ACCEPT)
+
+
+def partners(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, slot: np.ndarray, other: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks (i, j) of the pairs inside each run of members (from ends[r] to ends[r + 1]) that have to be confirmed.
+
+    Those are alike, of different components, not both on the other side, and share no earlier key than `slot`.
+    """
+    size = np.diff(ends)[np.searchsorted(ends, np.arange(len(n)), "right") - 1]
+    left = ends[1:][np.searchsorted(ends, np.arange(len(n)), "right") - 1] - np.arange(len(n)) - 1  # members behind in the run
+    left = np.where(size > 1, left, 0)
+    before = np.concatenate([[0], np.cumsum(left)])
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS, "right")) - 1)
+        i = np.repeat(np.arange(at, to), left[at:to])
+        j = i + 1 + np.arange(len(i)) - (before[i] - before[at])
+        ok = (comp[i] != comp[j]) & ~(other[i] & other[j])
+        i, j = i[ok], j[ok]
+        ok = alike(sig, n, i, j)
+        i, j = i[ok], j[ok]
+        ok = first_keys(sig[i] == sig[j]) == slot[i]
+        yield i[ok], j[ok]
+        at = to
+
+
+def confirmed(sets: np.ndarray, ends: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j): links on full sets that join components, without those between members joined meanwhile."""
+    code = np.unique(sets, return_inverse=True)[1]
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    n = np.diff(ends)
+    kinds, root = np.unique(comp, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    cuts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+    for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
+        x, ys = i[a], j[a:b][root[j[a:b]] != root[i[a]]]
+        if not len(ys):
+            continue
+        mark[code[ends[x] : ends[x + 1]]] = True
+        flat = np.repeat(ends[ys] - (np.cumsum(n[ys]) - n[ys]), n[ys]) + np.arange(n[ys].sum())
+        both = np.add.reduceat(mark[code[flat]].astype(np.int64), np.cumsum(n[ys]) - n[ys])
+        mark[code[ends[x] : ends[x + 1]]] = False
+        for y in ys[100 * both >= PERCENT * (n[x] + n[ys] - both)]:
+            if root[x] != root[y]:
+                out.append((x, y))
+                root[root == root[y]] = root[x]
+    return np.array([o[0] for o in out], int), np.array([o[1] for o in out], int)
+
+
+def runs_of(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, pa.Array | None]:
+    """The members of a batch's units as flat arrays, their ends, and the sets if there are some."""
+    lists = batch.column(batch.schema.get_field_index("m"))
+    flat = lists.flatten()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    out = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("cid", "comp", "n", "other")}
+    out["slot"] = np.repeat(batch.column(batch.schema.get_field_index("slot")).to_numpy(), np.diff(ends))
+    out["sig"] = np.frombuffer(b"".join(flat.field("sig").to_pylist()), np.uint16).reshape(len(flat), COMPONENTS)
+    return out, ends, flat.field("words") if flat.type.get_field_index("words") >= 0 else None
+
+
+def blocks_of(mixed: DataFrame) -> DataFrame:
+    """(unit, slot, m) of mixed(key, slot, cid, comp, n, sig): pairs of blocks of each key's members, as one list each.
+
+    A key of more than a block has its largest component's members on the other side: they don't meet each other.
+    Only the numbers of the blocks are paired by key; their contents join them by block.
     """
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    rows = rest.join(materialize(sizes, "key-parts"), "key").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    blocks = materialize(rows.groupBy("key", "part").agg(F.first("slot").alias("slot"), F.collect_list(F.struct("cid", "comp", "sig")).alias("m")), "key-blocks")
-    a = blocks.select("key", F.col("part").alias("pa"), "slot", F.col("m").alias("ma"))
-    b = blocks.select("key", F.col("part").alias("pb"), F.col("m").alias("mb"))
-    pairs = a.join(b, "key").where("pa <= pb").select("slot", (F.col("pa") == F.col("pb")).alias("same"), "ma", "mb")
+    by_comp = mixed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("words"))
+    sizes = by_comp.groupBy("key").agg(F.sum("k").alias("all_k"), F.sum("words").alias("all_words"), F.max_by(F.struct("comp", "k", "words"), F.struct("k", "comp")).alias("big"))
+    parts = lambda k, words: F.greatest(F.ceil(k / BLOCK), F.ceil(words * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    one = parts(F.col("all_k"), F.col("all_words")) == 1
+    sizes = sizes.select("key", F.when(~one, F.col("big.comp")).alias("big"), F.when(one, 1).otherwise(parts(F.col("all_k") - F.col("big.k"), F.col("all_words") - F.col("big.words"))).alias("pa"), F.when(one, 0).otherwise(parts(F.col("big.k"), F.col("big.words"))).alias("po"))
+    sizes = materialize(sizes, "key-blocks")
+    other = F.coalesce(F.col("comp") == F.col("big"), F.lit(False))
+    rows = mixed.join(sizes, "key").withColumn("other", other)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("cid"), F.when(F.col("other"), F.col("po")).otherwise(F.col("pa"))))
+    blocks = rows.groupBy("key", "slot", "other", "part").agg(F.collect_list(F.struct("cid", "comp", "n", "other", "sig")).alias("m"))
+    blocks = materialize(blocks, "blocks")
+    first = sizes.select("key", "pa", "po", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("a"))
+    near = first.select("key", "a", F.lit(False).alias("other"), F.explode(F.sequence(F.col("a"), F.col("pa") - 1)).alias("b"))
+    far = first.where("po > 0").select("key", "a", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("po") - 1)).alias("b"))
+    near = near.where("a < b").unionByName(far)
+    a = blocks.where("not other").select("key", F.col("part").alias("a"), "slot", F.col("m").alias("ma"))
+    b = blocks.select("key", "other", F.col("part").alias("b"), F.col("m").alias("mb"))
+    met = near.join(a, ["key", "a"]).join(b, ["key", "other", "b"]).select(F.xxhash64("key", "a", "other", "b").alias("unit"), "slot", F.concat("ma", "mb").alias("m"))
+    alone = a.where(F.size("ma") > 1).select(F.xxhash64("key", "a").alias("unit"), "slot", F.col("ma").alias("m"))
+    return alone.unionByName(met)
+
+
+def wanted(units: DataFrame) -> DataFrame:
+    """(unit, slot, cid, comp, n, other, sig): the members of units that have a partner to be confirmed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for n in range(len(batch)):
-                sides = [batch.column(c)[n].values for c in (2, 3)]
-                ids, comps = ([x.field(f).to_numpy() for x in sides] for f in ("cid", "comp"))
-                sigs = [np.frombuffer(b"".join(x.field("sig").to_pylist()), np.uint8).reshape(len(x), -1) for x in sides]
-                slot = np.full(len(ids[0]), batch.column(0)[n].as_py())
-                found.append(close_pairs(slot, ids, comps, sigs, batch.column(1)[n].as_py()))
-            x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            m, ends, _ = runs_of(batch)
+            hit = np.zeros(len(m["n"]), bool)
+            for i, j in partners(m["sig"], m["n"], m["comp"], m["slot"], m["other"], ends):
+                hit[i] = hit[j] = True
+            at = np.flatnonzero(hit)
+            of = np.searchsorted(ends, at, "right") - 1
+            flat = batch.column(2).flatten().take(pa.array(at))
+            yield pa.record_batch([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), *(flat.field(c) for c in ("cid", "comp", "n", "other", "sig"))], names=["unit", "slot", "cid", "comp", "n", "other", "sig"])
+            tokens.release()
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return units.mapInArrow(run, "unit long, slot int, cid long, comp long, n long, other boolean, sig binary")
 
 
-def unequal(a: Column, b: Column, start: int, width: int, n: int) -> Column:
-    """How many of n parts of `width` bytes from byte `start` on differ."""
-    differ = [(F.substring(a, start + width * i + 1, width) != F.substring(b, start + width * i + 1, width)).cast("int") for i in range(n)]
-    while len(differ) > 1:
-        differ = [differ[i] + differ[i + 1] if i + 1 < len(differ) else differ[i] for i in range(0, len(differ), 2)]
-    return differ[0]
+def joins(units: DataFrame) -> DataFrame:
+    """(a, b): confirmed links of units(unit, slot, m with words) that join components."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                m, ends, words = runs_of(batch.slice(r, 1))
+                found = list(partners(m["sig"], m["n"], m["comp"], m["slot"], m["other"], ends))
+                i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                sets = np.frombuffer(b"".join(words.to_pylist()), tokens.U)
+                i, j = confirmed(sets, np.concatenate([[0], np.cumsum(m["n"])]), m["comp"], i, j)
+                yield pa.record_batch([pa.array(m["cid"][i]), pa.array(m["cid"][j])], names=["a", "b"])
+            tokens.release()
 
-def close(a: Column, b: Column) -> Column:
-    """The signatures are near enough for the exact check."""
-    first = unequal(a, b, 0, 2, COMPONENTS)
-    return (first <= RADIUS) | ((first <= ACCEPT) & (first + unequal(a, b, 2 * COMPONENTS, 1, FINE) <= TOTAL_ACCEPT))
+    return units.mapInArrow(run, "a long, b long")
+
+
+def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are alike; classes(cid, n, sig)."""
+    side = lambda name: classes.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+            sig = np.concatenate([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for c in (4, 5)])
+            at = np.arange(len(batch))
+            yield batch.filter(pa.array(alike(sig, n, at, at + len(batch)))).select(["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of at least SIMILARITY; texts(cid, text)."""
+    """The pairs (a, b) whose full sets have the similarity; texts(cid, text)."""
     both = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -162,68 +242,57 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 for i, j in enumerate(left.indices.to_numpy()):
                     x, y = la[lo[j] : lo[j + 1]], ra[ro[i] : ro[i + 1]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = 100 * both >= round(100 * SIMILARITY) * (len(x) + len(y) - both)
+                    good[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
                 yield part.filter(pa.array(good)).select(["a", "b"])
             tokens.release()
 
     return both.mapInArrow(check, "a long, b long")
 
 
+def word_sets(texts: DataFrame) -> DataFrame:
+    """(cid, words): the shingle hashes of each text as bytes; texts(cid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, e in tokens.slices(batch.column(1)):
+                sets, ends = tokens.shingle_sets(batch.column(1).slice(s, e - s), K_WORDS)
+                yield pa.record_batch([batch.column(0).slice(s, e - s), pa.array([sets[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], pa.binary())], names=["cid", "words"])
+            tokens.release()
+
+    return texts.mapInArrow(run, "cid long, words binary")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     base = materialize(signed(docs, doc_id, text), "signed")
-    classes = base.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("low"), F.min("sig").alias("sig"))
+    classes = base.where("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = classes.select("cid", F.posexplode(chunk_keys(F.col("sig"))).alias("slot", "key")).repartition("key")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     shared = materialize(keys.join(sizes, "key"), "shared-keys")
-    sig = classes.select("cid", "sig")
-    side = lambda name: sig.select(F.col("cid").alias(name), F.col("sig").alias(f"sig_{name}"))
-    near = lambda p: p.join(side("b"), "b").join(side("a"), "a").where(close(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
     # how many key neighbours a class has in all
-    shared = materialize(shared.join(shared.groupBy("cid").agg(F.sum("n").alias("fame")), "cid").select("key", "slot", "cid", "fame"), "famed-keys")
-    pair = lambda p, x, y: p.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a <> b").distinct()
+    fame = shared.groupBy("cid").agg(F.sum("k").alias("fame"))
+    shared = materialize(shared.join(fame, "cid").select("key", "slot", "cid", "fame"), "famed-keys")
     lead = shared.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("lead"))
-    lead = materialize(lead, "leads")
-    stars = materialize(near(pair(shared.join(lead, "key"), "lead", "cid")), "star-pairs")
+    stars = shared.join(lead, "key").select(F.least("lead", "cid").alias("a"), F.greatest("lead", "cid").alias("b")).where("a <> b").distinct()
+    stars = materialize(close(stars, classes), "star-pairs")
 
-    def fetch(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        need = need.join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_key").alias("rkey"))
+    def fetch(cids: DataFrame) -> DataFrame:
+        need = cids.distinct().join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_key").alias("rkey"))
         have = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
         have = have.withColumn("text_key", F.unhex(F.md5("text")))
-        return materialize(have.join(need, F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"]), "texts")
-
-    def mixed(parts: DataFrame) -> DataFrame:
-        """The rows of keys whose members lie in several components."""
-        at = shared.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "slot", "cid", "fame", F.coalesce("component", "cid").alias("comp"))
-        split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return materialize(at.join(split, "key"), "mixed-keys")
-
-    def add(pairs: DataFrame) -> DataFrame | None:
-        """Checks pairs not checked before; the components with the new links, or None if there are none."""
-        nonlocal links, done
-        new = materialize(pairs.join(done, ["a", "b"], "left_anti"), "new-pairs")
-        done = done.unionByName(new)
-        found = materialize(confirm(new, fetch(new)), "new-links")
-        links = links.unionByName(found)
-        return connected_components(links) if found.limit(1).count() else None
-
-    done = stars
-    links = materialize(confirm(stars, fetch(stars)), "star-links")
+        return have.join(materialize(need, "needed"), F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"])
+
+    ends = stars.select(F.col("a").alias("cid")).unionByName(stars.select(F.col("b").alias("cid")))
+    links = materialize(confirm(stars, materialize(fetch(ends), "texts")), "star-links")
     parts = connected_components(links)
-    rest = mixed(parts)
-    for _ in range(PIVOTS):
-        led = rest.join(lead, "key")
-        of_lead = led.where("cid = lead").select("key", F.col("comp").alias("lead_comp"))
-        led = led.join(of_lead, "key")
-        pivot = led.groupBy("key").agg(F.max_by(F.struct("cid", "comp"), F.struct(F.col("comp") != F.col("lead_comp"), "fame", "cid")).alias("p"))
-        tries = rest.join(pivot, "key").where("comp <> p.comp").withColumn("pivot", F.col("p.cid"))
-        parts = add(near(pair(tries, "pivot", "cid"))) or parts
-        rest = mixed(parts)
-    rest = materialize(rest.join(sig, "cid").select("key", "slot", "cid", "comp", "sig"), "split-keys")
-    more = split_pairs(rest)
-    parts = add(more) or parts
+    at = shared.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "slot", "cid", F.coalesce("component", "cid").alias("comp"))
+    split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = materialize(at.join(split, "key").join(classes.select("cid", "n", "sig"), "cid").select("key", "slot", "cid", "comp", "n", "sig"), "mixed-keys")
+    tried = materialize(wanted(blocks_of(mixed)), "wanted")
+    tried = tried.join(materialize(word_sets(fetch(tried.select("cid"))), "word-sets"), "cid")
+    more = joins(tried.groupBy("unit", "slot").agg(F.collect_list(F.struct("cid", "comp", "n", "other", "sig", "words")).alias("m")))
+    parts = connected_components(links.unionByName(materialize(more, "new-links")))
     comp = classes.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cls", "low", F.coalesce("component", "cid").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("low").alias("component_id"))
     comp = comp.join(materialize(least, "component-ids"), "comp").select("cls", "component_id")

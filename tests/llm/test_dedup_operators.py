@@ -56,6 +56,8 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(df).collect()}
     assert got == {x: want[x] for a, b in links if a != b for x in (a, b)}
     assert connected_components(df.limit(0)).count() == 0
+    spread = df.repartition(7).where("a is not null and b is not null")
+    assert {r.id: r.component for r in connected_components(spread, edges_each=30).collect()} == got
 
 
 def test_minhash(spark):
@@ -73,6 +75,39 @@ def test_minhash(spark):
     )
 
 
+def near_misses(seed, n, words=60):
+    """Edited copies of one text, of which most lie a little below the similarity from one another."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    return [" ".join(edited(rng, base, rng.choice([0.01, 0.03, 0.05]))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [512, 6])
+def test_minhash_near_misses(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    texts = near_misses(8, 70) + near_misses(9, 12, 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    want = roots(len(texts), links)
+    assert len(set(want)) > 5 and max(want.count(x) for x in want) > 20
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(want))
+
+
+def test_minhash_recall(spark):
+    """Lone pairs of a similarity of 0.75 to 0.8: all are found."""
+    rng, texts = random.Random(10), []
+    while len(texts) < 400:
+        a = [f"v{rng.randrange(10**6)}" for _ in range(104)]
+        b = a[: rng.randrange(90, 93)] if rng.random() < 0.3 else [*a[:50], "x", *a[51:]] if rng.random() < 0.5 else a[:90] + [f"y{len(texts)}"] + a[91:]
+        while len(shingles(" ".join(a)) & shingles(" ".join(b))) * 100 >= 80 * len(shingles(" ".join(a)) | shingles(" ".join(b))):
+            b = b[:-1]
+        if len(shingles(" ".join(a)) & shingles(" ".join(b))) * 100 >= 75 * len(shingles(" ".join(a)) | shingles(" ".join(b))):
+            texts += [" ".join(a), " ".join(b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in minhash_dedup.near_duplicates(df).collect())
+
+
 def test_passages(spark):
     rng = random.Random(3)
     make = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
@@ -203,17 +238,19 @@ def test_passages_of_similarity(spark):
     assert len(got & set(pairs)) >= 0.97 * len(pairs)
 
 
-def test_minhash_radius(spark):
-    """A pair within RADIUS goes to the exact check, however many of the further components differ."""
-    m = minhash_dedup
-    sig = [np.zeros(2 * m.COMPONENTS + m.FINE, np.uint8), np.ones(2 * m.COMPONENTS + m.FINE, np.uint8)]
-    sig[1][: 2 * (m.COMPONENTS - m.RADIUS)] = 0
-    df = spark.createDataFrame([tuple(bytes(s) for s in sig)], "a binary, b binary")
-    assert df.select(m.close(F.col("a"), F.col("b"))).first()[0]
-    sigs = [s[None] for s in sig]
-    equal = sigs[0][:, : 2 * m.COMPONENTS].copy().view(np.uint16) == sigs[1][:, : 2 * m.COMPONENTS].copy().view(np.uint16)
-    ids = [np.array([1]), np.array([2])]
-    assert len(m.close_pairs(m.first_keys(equal), ids, ids, sigs, False)[0]) == 1
+def test_minhash_radius():
+    """Signatures within RADIUS of each other share a key, however the errors lie, and are compared in the first one they share."""
+    m, rng = minhash_dedup, np.random.default_rng(1)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 16, m.COMPONENTS).astype(np.uint16)
+        b = a.copy()
+        b[rng.choice(m.COMPONENTS, m.RADIUS, replace=False)] ^= 1
+        first = m.first_keys((a == b)[None])[0]
+        chunk = next((s, e) for s, e in m.BOUNDS if s <= first < e)
+        assert all(a[k] == b[k] for k in range(*chunk) if k != first)
+        sig, one, ends = np.stack([a, b]), np.array([10, 10]), np.array([0, 2])
+        met = [len(i) for slot in range(m.COMPONENTS) for i, _ in m.partners(sig, one, np.array([1, 2]), np.full(2, slot), np.zeros(2, bool), ends)]
+        assert sum(met) == 1 and met[first] == 1
 
 
 def test_language_model_is_whole(spark, monkeypatch):
