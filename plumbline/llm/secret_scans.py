@@ -14,7 +14,8 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import running_sum
+from plumbline.functions.arrays import let
+from plumbline.llm.common import running_max, running_sum
 
 #: kind -> (pattern, the group whose length counts, least code points of it). Fixed values of the contract.
 BASE = {
@@ -77,27 +78,27 @@ def _high(alphabet: str, bits: float, m: Column) -> Column:
     return window_entropy(m["hit"], alphabet) >= bits
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus spans: array<struct<start, rank, kind, end>>, sorted; rank is the kind's place in KINDS."""
-    names = []
-    body = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
+def secret_spans(text: Column) -> Column:
+    """array<struct<start, rank, kind, end>> of a text, sorted; rank is the kind's place in KINDS."""
+    body = F.coalesce(text, F.lit(""))
 
-    def add(kind: str, kept: Column) -> None:
-        nonlocal docs
-        span = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end")))
-        docs = docs.withColumn(f"_{kind}", span)
-        names.append(f"_{kind}")
+    def spans(kind: str, kept: Column) -> Column:
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
+    out = []
     for kind, (pattern, group, least) in BASE.items():
         long = partial(_at_least, least)
-        add(kind, F.filter(matches(body, pattern, group), lambda m: long(m)))
+        out.append(spans(kind, F.filter(matches(body, pattern, group), lambda m: long(m))))
     for kind, (pattern, alphabet, bits) in CLASSES.items():
         likely = F.filter(matches(body, pattern), lambda m: ~F.rlike(m["hit"], F.lit(ALLOWED)))
         high = partial(_high, alphabet, bits)
-        add(kind, F.filter(likely, lambda m: high(m)))
-    spans = F.array_sort(F.concat(*[F.coalesce(F.col(n), empty) for n in names]))
-    return docs.withColumn("spans", spans).drop(*names)
+        out.append(spans(kind, F.filter(likely, lambda m: high(m))))
+    return F.array_sort(F.concat(*out))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+    """docs plus the column `to`: the spans of secret_spans; a column of that name is replaced."""
+    return docs.withColumn(to, secret_spans(F.col(text)))
 
 
 def joined(spans: Column) -> Column:
@@ -106,12 +107,15 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of find_secrets replaced by mark; overlapping spans are replaced as one. Null text stays null."""
-    found = find_secrets(docs, text)
-    # a span is covered if an earlier one reaches its end; a gap starts where no earlier span reaches beyond
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,len:bigint>>").alias("gaps"))
-    merged = F.aggregate("spans", start, lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.array_append(a["gaps"], F.struct(a["at"].alias("at"), (s["start"] - a["at"]).alias("len"))).alias("gaps"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["gaps"].alias("gaps"))))
-    found = found.withColumn("_m", F.when(F.size("spans") > 0, merged))
-    piece = F.transform("_m.gaps", lambda g: F.substring(F.col(text), (g["at"] + 1).cast("int"), g["len"].cast("int")))
-    rest = F.substring(F.col(text), (F.col("_m.at") + 1).cast("int"), F.lit(2**31 - 1))
-    return found.withColumn(text, F.when(F.size("spans") > 0, F.concat(F.array_join(piece, mark), F.lit(mark), rest)).otherwise(F.col(text))).drop("_m", "spans")
+    """docs with every span of secret_spans replaced by mark; overlapping spans are replaced as one. Null text stays null."""
+    body = F.col(text)
+
+    def without(spans: Column) -> Column:
+        # a gap of the text lies before each span that no earlier one reaches; it begins where the farthest of those ends
+        ends = F.transform(spans, lambda s: s["end"])
+        gaps = F.zip_with(spans, running_max(ends), lambda s, at: F.struct(at.alias("at"), (s["start"] - at).alias("len")))
+        pieces = F.transform(F.filter(gaps, lambda g: g["len"] >= 0), lambda g: F.substring(body, (g["at"] + 1).cast("int"), g["len"].cast("int")))
+        rest = F.substring(body, (F.array_max(ends) + 1).cast("int"), F.lit(2**31 - 1))
+        return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, mark), F.lit(mark), rest)).otherwise(body)
+
+    return docs.withColumn(text, let(secret_spans(body), without))
