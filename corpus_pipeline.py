@@ -1,13 +1,14 @@
 """The corpus pipeline: documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
-Null doc_ids: such rows pass language ID by their text alone, are never dropped as near duplicates, and share one
-place in the mix. An empty table passes through every stage.
+Decisions are taken for rows, known by id and text: a repeated or null doc_id takes no other text with it. Documents
+without letters (null and empty texts among them) go in the first stage. Columns may have any name. An empty table
+passes through every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, minhash_dedup, secret_scans, sentencepiece_codec, source_mixing
@@ -15,23 +16,48 @@ from plumbline.llm.common import materialize, table
 from plumbline.llm.queries import PIECES_PATH, held_out
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids; the ids are written first, so that Spark knows their size when it picks the join."""
-    return docs.join(materialize(ids.where("doc_id is not null").distinct(), "left-out"), "doc_id", "left_anti").select(docs.columns)
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or it with underscores added until docs has no such column (Spark compares names without case)."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def row_key(docs: DataFrame) -> Column:
+    """What a row is known by: its id, null ids last, and its text; rows that share both are copies in every way."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("text"), F.col("text").isNull().alias("no_text"))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with its row keys, and the name of their column."""
+    key = fresh(docs, "row_key")
+    return docs.withColumn(key, row_key(docs)), key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: no letters, or an entropy far above every learned language's."""
-    got = language_id.identify(docs.select("doc_id", "text", "lang"), ~held_out())
-    return without(docs, got.where("rejected").select("doc_id")).where(F.rlike("text", F.lit(r"\p{L}")))
+    """Drops documents that language ID rejects: no letters, or an entropy far above every learned language's.
+
+    The verdict depends on the text alone, so it is taken back to the rows by the text.
+    """
+    key = fresh(docs, "text_key")
+    texts = docs.withColumn(key, F.md5("text"))
+    got = language_id.identify(texts.select(key, "doc_id", "text", "lang"), ~held_out(), doc_id=key)
+    out = materialize(got.where(F.col("rejected") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(key)).distinct(), "rejected")
+    return texts.join(out, key, "left_anti").where(F.rlike("text", F.lit(r"\p{L}"))).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group; rows of one id and text become one."""
-    got = minhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    left = without(docs, got.where("not kept").select("doc_id"))
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    return without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(left.columns).dropDuplicates(["doc_id", "text"]))
+    """Keeps one document of each near-duplicate group: that of the smallest id (null ids last), then of the smallest text hash.
+
+    Rows of one id and text become one. Texts that share nothing but the id stay.
+    """
+    rows, key = keyed(docs)
+    got = materialize(minhash_dedup.near_duplicates(rows.select(key, "text"), doc_id=key), "near-groups")
+    out = got.where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    again = got.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    left = rows.join(materialize(out.unionByName(again), "near-copies"), key, "left_anti")
+    return left.unionByName(rows.join(materialize(again, "repeated-rows"), key, "left_semi").dropDuplicates([key])).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +69,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes its words, rounded: none, once or twice."""
-    taken = source_mixing.mix(docs.select("doc_id", "text", "source"))
-    times = taken.where("size > 0").groupBy("doc_id").agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    times = times.withColumnRenamed("doc_id", "_id")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    """Each document as many times as the mix takes its words, rounded: none, once or twice. Copies of a row share alike."""
+    rows, key = keyed(docs)
+    times, turn = fresh(docs, "times"), fresh(docs, "turn")
+    taken = source_mixing.mix(rows.select(key, "text", "source"), doc_id=key)
+    taken = taken.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    return rows.join(taken, key).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +90,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Language ID and near-dedup have no SQL form; tests hold the stages against brute-force versions.
+#: Language ID and near-dedup have no SQL form; tests/llm/test_pipeline.py holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
