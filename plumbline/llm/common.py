@@ -52,6 +52,23 @@ def partitions_for(df_rows: int, rows_each: int, least: int = 1) -> int:
     return max(least, -(-df_rows // rows_each))
 
 
+#: 64-bit words of the bitmap that passes over rows without a partner.
+BITMAP_WORDS = 1 << 17
+
+
+def likely(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows whose key (never null) stands in wanted, and few others: a filter before a join by that key, which it leaves exact.
+
+    The filter is a bitmap of BITMAP_WORDS words over hashes of the keys, broadcast: never more rows than that, however
+    many keys there are. Where they fill it, all rows pass.
+    """
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    bits = wanted.select(F.xxhash64(wanted_key).alias("h")).groupBy(word(F.col("h")).alias("_word")).agg(F.bit_or(bit(F.col("h"))).alias("_bits"))
+    hashed = F.xxhash64(key)
+    return rows.join(F.broadcast(bits), word(hashed) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(hashed)) != 0).drop("_word", "_bits")
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, smallest id each reaches) of the edges a[i] - b[i], by hooking roots and halving paths."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import connected_components, materialize
+from plumbline.llm.common import connected_components, likely, materialize
 
 K_WORDS, PERCENT = 5, 75
 COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 30
@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         need = cids.distinct().join(classes, "cid").select("cid", F.col("rep.doc_id").alias("rid"), F.col("rep.text_key").alias("rkey"))
         have = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
         have = have.withColumn("text_key", F.unhex(F.md5("text")))
-        return have.join(materialize(need, "needed"), F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"])
+        need = materialize(need, "needed")
+        have = likely(have, F.col("text_key"), need, F.col("rkey"))
+        return have.join(need, F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"])
 
     ends = stars.select(F.col("a").alias("cid")).unionByName(stars.select(F.col("b").alias("cid")))
     links = materialize(confirm(stars, materialize(fetch(ends), "texts")), "star-links")
