@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lex
-from plumbline.functions.arrays import found
+from plumbline.functions.arrays import found, let
 from plumbline.operators.parse import word_count
 
 ERROR, WARNING, SUGGESTION = "error", "warning", "suggestion"
@@ -53,13 +53,19 @@ def say(*parts: Column | str) -> Column:
 
 
 def among(values: Iterable[str]) -> Callable[[Column], Column]:
-    """Membership in a fixed list; an empty list has no members."""
+    """Membership in a fixed list, a hash probe; an empty list has no members."""
     values = sorted(values)
-    if len(values) > 100 and not any("," in v for v in values):  # one literal, as tasks carry every copy of the list
-        return lambda c: F.find_in_set(c, F.lit(",".join(values))) > 0
     return lambda c: c.isin(*values) if values else F.lit(False)
 
 
+def few(values: Iterable[str]) -> Callable[[Column], Column]:
+    """Membership as one literal that is searched in turn: for tests that stand in many places and rarely run."""
+    values = sorted(values)
+    if any("," in v for v in values):
+        return among(values)
+    return lambda c: F.find_in_set(c, F.lit(",".join(values))) > 0
+
+
 def choice(table: dict[str, str], key: Column) -> Column:
     """The value of a key; the table is one literal, as a whole word list as literals of its own takes long to plan."""
     return F.element_at(F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in sorted(table.items()))), F.lit("\x02"), F.lit("\x01")), key)
@@ -75,16 +81,24 @@ def gram(words: Column, i: Column, n: int) -> Column:
     return F.concat_ws(" ", F.transform(F.slice(words, i + 1, F.lit(n)), lambda w: w["lower"])) if n > 3 else say(*[x for k in range(n) for x in ((" ", low(words, i + k)) if k else (low(words, i),))])
 
 
-def phrases(words: Column, table: Iterable[str], make: Callable[[Column, Column, Column], Column]) -> Column:
-    """make(phrase, first, last) of every place where a phrase of the table stands; phrases of one first place may repeat."""
+def phrases(words: Column, table: Iterable[str], make: Callable[[Column, Column, Column], Column], opens: Column | None = None) -> Column:
+    """make(phrase, first, last) of every place where a phrase of the table stands; phrases of one first place may repeat.
+
+    opens: structs (w, i) of the words to look at and their places, if not all.
+    """
     out = []
     for n in sorted({p.count(" ") + 1 for p in table}):
         mine = [p for p in table if p.count(" ") + 1 == n]
-        starts, whole = among({p.split(" ")[0] for p in mine}), among(mine)
-        out.append(found(F.transform(words, _phrase(words, n, starts, whole, make))))
+        starts, whole = few({p.split(" ")[0] for p in mine}), few(mine)
+        at = _phrase(words, n, starts, whole, make)
+        out.append(found(F.transform(words, at) if opens is None else _each(opens, at)))
     return F.concat(*out) if out else F.array().cast(f"array<{FINDING}>")
 
 
+def _each(places: Column, at: Callable[[Column, Column], Column]) -> Column:
+    return F.transform(places, lambda x: at(x["w"], x["i"]))
+
+
 def _phrase(words: Column, n: int, starts: Callable, whole: Callable, make: Callable) -> Callable[[Column, Column], Column]:
     def at(w: Column, i: Column) -> Column:
         return F.when(starts(w["lower"]) & (i + n <= F.size(words)) & whole(gram(words, i, n)), make(gram(words, i, n), w, F.get(words, i + n - 1)))
@@ -142,26 +156,33 @@ def one_instruction(kind: Column, toks: Column, words: Column) -> Column:
 def vocabulary(s: Settings) -> Callable[[Column, Column, Column], Column]:
     hints = {w: 'Use "' + '" or "'.join(a) + '".' if a else "Use an approved word." for w, a in s.substitutions.items()}
     multi = [w for w in s.substitutions if " " in w]
-    single = among({w for w in s.substitutions if " " not in w} - s.allowed)
-    bare = among(set(s.bare) - set(s.substitutions) - s.allowed if s.strict else ())
+    lone_words = {w for w in s.substitutions if " " not in w} - s.allowed
+    bare_words = set(s.bare) - set(s.substitutions) - s.allowed if s.strict else set()
+    single, bare = few(lone_words), few(bare_words)
+    opens = among(lone_words | bare_words | {w.split(" ")[0] for w in multi if w not in s.allowed})
     lengths = sorted({w.count(" ") + 1 for w in multi})
 
     def covered(words: Column, i: Column) -> Column:
         """Some phrase of the list, allowed or not, stands over place i."""
         out = F.lit(False)
         for n in lengths:
-            whole = among(w for w in multi if w.count(" ") + 1 == n)
+            whole = few(w for w in multi if w.count(" ") + 1 == n)
             for k in range(n):
                 out = out | F.coalesce((i - k >= 0) & whole(gram(words, i - k, n)), F.lit(False))
         return out
 
     def check(kind: Column, toks: Column, words: Column) -> Column:
         make = lambda text, a, b, key: finding(say('The word "', text, '" is not approved Simplified Technical English.'), choice(hints, key), a, b, text)
-        spans = phrases(words, [w for w in multi if w not in s.allowed], lambda p, a, b: make(p, a, b, p))
         lone = lambda w, i: F.when(single(w["lower"]) & ~covered(words, i), make(w["text"], w, w, w["lower"]))
         strict = lambda w, i: F.when(bare(w["lower"]) & ~covered(words, i), finding(say('The word "', w["text"], '" is not in the approved vocabulary.'), "Use an approved word with the same meaning.", w, w, w["text"]))
-        parts = [spans, found(F.transform(words, lone))] + ([found(F.transform(words, strict))] if s.strict else [])
-        return F.concat(*parts)
+
+        def at(places: Column) -> Column:
+            spans = phrases(words, [w for w in multi if w not in s.allowed], lambda p, a, b: make(p, a, b, p), places)
+            return F.concat(spans, found(_each(places, lone)), *([found(_each(places, strict))] if s.strict else []))
+
+        # all else looks at the words that may open a finding alone
+        places = F.filter(F.transform(words, lambda w, i: F.when(opens(w["lower"]), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+        return let(places, at)
 
     return check
 
