@@ -28,6 +28,8 @@ U = tokens.U
 SPACE, MARK = " ", "▁"
 #: Distinct words whose ids a task keeps from one slice to the next.
 CACHE_WORDS = 300_000
+#: Longer words advance one by one, a step of positions at a time.
+LONG, LONG_STEP = 256, 65_536
 #: Words of one length are encoded in groups of about this many characters.
 GROUP_CHARS = 1_000_000
 
@@ -122,6 +124,53 @@ def encode_words(p: Pieces, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], count
 
 
+def encode_long(p: Pieces, codes: np.ndarray) -> np.ndarray:
+    """As encode_words of one long word, such as a text without spaces: the same maxima, with the pieces that occur alone.
+
+    The probes stay vectorised; positions then advance one by one over the few pieces that end there.
+    """
+    size = len(codes)
+    value = tokens.mix64(codes.astype(U) + U(9))
+    acc = np.zeros(size, U)
+    found = []
+    for w in range(1, min(p.longest, size) + 1):
+        acc = acc[: size - w + 1] + value[w - 1 :] * p.place[w - 1]
+        h = tokens.mix64(acc + U(w))
+        i = np.minimum(np.searchsorted(p.keys, h), len(p.keys) - 1)
+        at = np.flatnonzero(p.keys[i] == h)
+        score, ids = p.scores[i[at]], p.ids[i[at]]
+        if w == 1:
+            all_score, all_ids = np.full(size, p.missing), -codes.astype(np.int32)
+            known = codes[at] != ord(MARK)
+            all_score[at[known]], all_ids[at[known]] = score[known], ids[known]
+            at, score, ids = np.arange(size), all_score, all_ids
+        found.append((at.astype(np.int32) + w, np.full(len(at), w, np.int32), score, ids.astype(np.int32)))
+    end, width, score, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-width, end))
+    end, width, score, ids = end[order], width[order], score[order], ids[order]
+    best, back = [0.0], np.zeros(size + 1, np.int64)
+    cuts = np.searchsorted(end, np.arange(1, size + 2, LONG_STEP))
+    for a, b in zip(cuts, np.append(cuts[1:], len(end)), strict=True):
+        last, top, place = 0, 0.0, 0
+        for k, (j, w, s) in enumerate(zip(end[a:b].tolist(), width[a:b].tolist(), score[a:b].tolist(), strict=True), a):
+            if j != last:
+                if last:
+                    best.append(top)
+                    back[last] = place
+                last, top = j, -np.inf
+            s += best[j - w]
+            if s > top:
+                top, place = s, k
+        if last:
+            best.append(top)
+            back[last] = place
+    out, at = [], size
+    while at:
+        out.append(back[at])
+        at -= width[back[at]]
+    return ids[np.array(out[::-1], np.int64)]
+
+
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i] + counts[i] - 1, one run after the other."""
     ends = np.cumsum(counts)
@@ -183,6 +232,14 @@ class Encoder:
         pools, counts, order = [self.pool], [], []
         for size in np.unique(lengths):
             mine = np.flatnonzero(lengths == size)
+            if size > LONG:
+                for k in mine:
+                    ids = encode_long(self.p, codes[starts[k] : starts[k] + size])
+                    ids, count = expand_bytes(self.p, ids, np.array([len(ids)]))
+                    pools.append(ids)
+                    counts.append(count)
+                    order.append(np.array([k]))
+                continue
             step = max(1, GROUP_CHARS // int(size))
             for i in range(0, len(mine), step):
                 part = mine[i : i + step]

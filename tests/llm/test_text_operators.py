@@ -176,3 +176,22 @@ def test_codec(spark):
     back = {r.doc_id: r.text for r in sentencepiece_codec.decode(out, p, ["doc_id"]).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_codec_without_spaces():
+    """Long words: the same ids as of the batch, and a million characters within seconds."""
+    import random
+    import time
+
+    import numpy as np
+
+    rng = random.Random(5)
+    pieces = ["", " ", *"abcdef", *sorted({"".join(rng.choices("abcdef", k=rng.randrange(2, 7))) for _ in range(300)})]
+    p = sentencepiece_codec.Pieces([*pieces, *[""] * 256], [-float(i * 7 % 40 + 1) / 4 for i in range(len(pieces))] + [0.0] * 256, list(range(len(pieces), len(pieces) + 256)))
+    for n in (1, 5, 300, 3000):
+        codes = np.array([ord(c) for c in rng.choices("abcdef▁é", [9] * 6 + [1, 1], k=n)], np.uint32)
+        assert sentencepiece_codec.encode_long(p, codes).tolist() == sentencepiece_codec.encode_words(p, codes[None])[0].tolist()
+    text = "".join(rng.choices("abcdef", k=1_000_000))
+    began = time.time()
+    ids, offsets = sentencepiece_codec.Encoder(p).encode(pa.array([text]))
+    assert time.time() - began < 30 and sentencepiece_codec.decode_ids(p, ids, offsets).to_pylist() == [text]
