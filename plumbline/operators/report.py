@@ -64,6 +64,19 @@ def concise(findings: DataFrame, color: bool = False) -> DataFrame:
     return head.unionByName(shared).unionByName(rows)
 
 
+def concise_by_path(findings: DataFrame) -> DataFrame:
+    """(path, issues): the concise report of each file by itself, as one text."""
+    shown = F.when(F.col("match") == "", F.col("message")).otherwise(F.col("match"))
+    row = F.struct("line", "col", F.concat(place(), F.lit("  "), shown).alias("text"), F.col("hint").alias("hint"))
+    first = F.min_by("severity", F.struct("line", "col", "severity"))
+    by_rule = findings.groupBy("path", "rule_id").agg(first.alias("severity"), F.count("*").alias("n"), F.when(F.min("hint") == F.max("hint"), F.min("hint")).otherwise("").alias("shared_hint"), F.array_sort(F.collect_list(row)).alias("rows"))
+    own = lambda r: F.when((F.col("shared_hint") == "") & (r["hint"] != ""), F.concat(F.lit("  — "), r["hint"])).otherwise("")
+    head = F.concat_ws(" · ", "rule_id", "severity", F.col("n").cast("string"))
+    parts = F.concat(F.array(head), F.when(F.col("shared_hint") != "", F.array(F.concat(F.lit("  ↳ "), "shared_hint"))).otherwise(F.array().cast("array<string>")), F.transform("rows", lambda r: F.concat(F.lit("  "), r["text"], own(r))))
+    by_rule = by_rule.select("path", F.struct(rank(F.col("severity")).alias("rank"), "rule_id", F.array_join(parts, "\n").alias("text")).alias("block"))
+    return by_rule.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda b: b["text"]), "\n").alias("issues"))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """(errors, warnings, suggestions, total, summary_line)."""
     out = findings.agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in COLORS])

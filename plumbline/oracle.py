@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from plumbline.functions import lexicons as lex
 from plumbline.queries import (
-    ALLOW, ALTERNATIVES, DENY, DISABLED, FAMILIES, FENCED, FIXTURES, MODELS, PATHS, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
+    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, MODELS, PATHS, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
 )
-from plumbline.operators.rules import Settings, rules
+from plumbline.operators.evaluation import FIX_TASK, FIX_TEXT, NOTHING_FOUND
 from plumbline.operators.report import SOURCE
+from plumbline.operators.rules import Settings, rules
+from plumbline.sources.markdown import FRONT_PATTERN
 
 COLUMNS = "rule_id, severity, message, hint, path, line, col, end_line, end_col, match"
 
@@ -223,8 +225,8 @@ UTF16 = lambda l, c: f"cast(case when {c} <= 1 then 0 else length(substring({l},
 REPLY = f"""
 per as (select path, rule_id, count(*) as n from kept group by path, rule_id),
 replies as (
-    select doc_id as seq, source as model, lang as family, case when coalesce(length(text), 0) < 60 then null else len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) end as words,
-        case when coalesce(length(text), 0) < 60 then 'too short ' || doc_id end as err from documents),
+    select doc_id as seq, source as model, lang as family, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\s\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '')) as words, null as err from documents
+    union all select seq, model, family, 0, trim(replace(err, chr(10), ' ')) from {values([(a, b, c, e) for a, b, c, _, e in FAILED], 'seq, model, family, err')}),
 counted as (
     select r.*, p.rule_id, p.n from replies r left join per p on p.path = 'doc:' || r.seq and r.err is null),
 models as (
@@ -280,7 +282,7 @@ ORACLE_SQL: dict[str, str] = {
         union all select cast({RANK.replace('severity', 'g.severity')} as integer), k.rule_id, 2, path, line, col, '  ' || {PLACE} || '  ' || case when match = '' then message else match end || case when shared_hint = '' and hint <> '' then '  — ' || hint else '' end from kept k join ({GROUPS}) g on k.rule_id = g.rule_id)"""),
     "report_text": over(f"select path, line, col, rule_id, {PLACE} || ': ' || severity || ': ' || message || ' [' || rule_id || ']' || {HINT} as report from kept"),
     "report_text_color": over(f"select path, line, col, rule_id, {PLACE} || ': ' || {COLOR} || ': ' || message || ' [' || rule_id || ']' || {HINT} as report from kept"),
-    "report_json": over("select path, count(*) as n, min_by(rule_id, k) as first_rule, min_by(line, k) as first_line, min_by(message, k) as first_message from (select *, {'line': line, 'col': col, 'rule': rule_id} as k from kept) group by path"),
+    "report_json": over("select path, count(*) as n, string_agg(f, chr(10) order by f) as findings from (select path, concat_ws('|', line, col, rule_id, severity, message, case when hint = '' then '-' else hint end, end_line, end_col, case when match = '' then '-' else match end) as f from kept) group by path"),
     "lsp_diagnostics": over(f"""select k.path, k.line - 1 as start_line, {UTF16('a.src', 'k.col')} as start_char, k.end_line - 1 as end_line, {UTF16('b.src', 'k.end_col')} as end_char,
         cast(case severity when 'error' then 1 when 'warning' then 2 else 3 end as integer) as severity, rule_id as code, {q(SOURCE)} as source, message || ' — ' || hint as message
         from kept k join raw a on a.path = k.path and a.line = k.line join raw b on b.path = k.path and b.line = k.end_line"""),
@@ -303,6 +305,16 @@ ORACLE_SQL: dict[str, str] = {
     "eval_by_model": evaluated("select * from by_model"),
     "eval_by_family": evaluated("""select *, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end as slop_per_100, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end as total_per_100
         from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)"""),
+    "md_frontmatter": f"select text, cast(length(regexp_extract(text, {q(FRONT_PATTERN.replace(chr(92) + 'Z', chr(92) + 'z'))}, 0)) as integer) as front_end from {values([(t,) for t in FRONT_MATTER], 'text')}",
+    "fix_prompt": with_(*LOOKUPS, *SUPPRESS, *FOUND, f"""by_rule as (
+            select path, rule_id, min_by(severity, {{'line': line, 'col': col, 'severity': severity}}) as severity, count(*) as n, case when min(hint) = max(hint) then min(hint) else '' end as shared_hint from kept group by path, rule_id),
+        listed as (
+            select path, rule_id, string_agg('  ' || text || case when shared_hint = '' and hint <> '' then '  — ' || hint else '' end, chr(10) order by line, col, text, hint) as rows from (
+                select path, rule_id, line, col, k.hint, shared_hint, {PLACE} || '  ' || case when match = '' then message else match end as text from kept k join by_rule using (path, rule_id)) group by path, rule_id),
+        issues as (
+            select path, string_agg(rule_id || ' · ' || severity || ' · ' || n || case when shared_hint <> '' then chr(10) || '  ↳ ' || shared_hint else '' end || chr(10) || rows, chr(10) order by {RANK}, rule_id) as issues
+            from by_rule join listed using (path, rule_id) group by path)""") + f"""
+        select path, {q(FIX_TASK)} || coalesce(issues, {q(NOTHING_FOUND)}) || {q(FIX_TEXT)} || coalesce(text, '') as prompt from docs left join issues using (path)""",
     "strip_fence": f"""select text, case when len(l) >= 2 and regexp_matches(l[1], '^\\s*```') and regexp_matches(l[-1], '^\\s*```\\s*$') then array_to_string(l[2:-2], chr(10)) else text end as stripped
         from (select text, string_split(text, chr(10)) as l from {values([(t,) for t in FENCED], 'text')})""",
 }

@@ -11,7 +11,7 @@ from plumbline.functions import lexicons as lex
 from plumbline.operators import evaluation, parse, report, suppress
 from plumbline.operators.rules import Settings, rules
 from plumbline.plans import engine
-from plumbline.sources import files, wordset
+from plumbline.sources import files, markdown, wordset
 
 #: Texts that make every rule fire: (path, text, markdown). The documents never do for most of them.
 FIXTURES = [
@@ -59,6 +59,9 @@ FAMILIES = [("src0", "alpha"), ("src1", "beta"), ("src2", "")]
 MODELS, PROMPTS = ["m1", "m2", "m3"], ["Describe a pump.", "Explain a valve."]
 SEVERITIES = {"STE.IngForms": "error", "STE.PassiveVoice": "suggestion", "STE.Contractions": "loud"}
 DISABLED = ["STE.IngForms", "STE.SlopNominalization"]
+#: Replies that never came: (seq, model, family, output, err).
+FAILED = [(-2, "src3", "en", "Testing it.", "timed out\nafter 30 s"), (-1, "src3", "fr", None, "no route"), (-3, "none", "xx", None, " refused ")]
+FRONT_MATTER = ["---\na: b\n---\nx", "---\r\na\r\n...\r\nx", "---\nnever", "no", "---\n---\n", "a\n---\nb\n---\n", "---\nx: 1\n---", "---\n\n--- \n---\ny"]
 FENCED = ["```md\nfixed\n```", "plain", "```\nonly", "text\n```", "```\n\n  x\n``` "]
 
 
@@ -97,16 +100,17 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = report.json(findings(spark, sf_dir))
-    get = lambda p: F.get_json_object("json", p)
-    return out.select("path", "n", get("$.findings[0].ruleId").alias("first_rule"), get("$.findings[0].line").cast("int").alias("first_line"), get("$.findings[0].message").alias("first_message"))
+    """Every finding of every file, read back from its JSON."""
+    kind = "struct<findings:array<struct<line:int,col:int,ruleId:string,severity:string,message:string,hint:string,endLine:int,endCol:int,match:string>>>"
+    fields = lambda f: F.concat_ws("|", *[F.coalesce(f[c].cast("string"), F.lit("-")) for c in ("line", "col", "ruleId", "severity", "message", "hint", "endLine", "endCol", "match")])
+    return report.json(findings(spark, sf_dir)).select("path", "n", F.array_join(F.array_sort(F.transform(F.from_json("json", kind)["findings"], fields)), "\n").alias("findings"))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as replies: the source stands for the model, the language for its family; replies below 60 characters count as failed."""
+    """Documents as replies: the source stands for the model, the language for its family; FAILED replies come with them."""
     docs = engine.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
-    bad = F.coalesce(F.length("text"), F.lit(0)) < 60
-    return docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("model"), F.col("lang").alias("family"), F.col("text").alias("output"), F.when(bad, F.concat(F.lit("too short\n"), "doc_id")).alias("err"))
+    good = docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("model"), F.col("lang").alias("family"), F.col("text").alias("output"), F.lit(None).cast("string").alias("err"))
+    return good.unionByName(spark.createDataFrame(FAILED, "seq long, model string, family string, output string, err string"))
 
 
 def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,14 +161,12 @@ def md_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    front = ["---\na: b\n---\nx", "---\r\na\r\n...\r\nx", "---\nnever", "no", "---\n---\n", "a\n---\nb\n---\n"]
-    pattern = r"(?sm)\A---\r?\n(?:.*?\n)??(?:---|\.\.\.)\r*(?:\n|\z)"
-    return one_column(spark, front, "text").select("text", F.length(F.regexp_extract("text", pattern, 0)).alias("front_end"))
+    return one_column(spark, FRONT_MATTER, "text").select("text", markdown.front_matter_end(F.col("text")).alias("front_end"))
 
 
 def fix_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = report.text(findings(spark, sf_dir)).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "col", "rule_id", "report"))), lambda x: x["report"]), "\n").alias("issues"))
-    return evaluation.fix_prompts(texts(spark, sf_dir), lines)
+    """The rewriting task of every document, with its findings as a concise report."""
+    return evaluation.fix_prompts(texts(spark, sf_dir), report.concise_by_path(findings(spark, sf_dir)))
 
 
 def _eval(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

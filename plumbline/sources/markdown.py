@@ -16,7 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE = "array<struct<line:int,masked:string,kind:string,blank:boolean>>"
-FRONT = re.compile(r"\A---\r?\n(?:.*?\n)??(?:---|\.\.\.)\r*(?:\n|\Z)", re.S | re.M)
+#: Front matter, read alike by Python and by Spark: a line of ---, and all up to the next line of --- or ...
+FRONT_PATTERN = r"(?s)\A---\r?\n(?:.*?\n)??(?:---|\.\.\.)\r*(?:\n|\Z)"
+FRONT = re.compile(FRONT_PATTERN)
 FENCE = re.compile(r"(`{3,})([^`]*)$|(~{3,})(.*)$")
 HEADING = re.compile(r"(#{1,6})(?=[ \t]|$)")
 RULE = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -60,6 +62,11 @@ def front_matter(text: str) -> int:
     return m.end() if m else 0
 
 
+def front_matter_end(text: Column) -> Column:
+    """front_matter as an expression. Where Python's \\Z is the very end, Java's is \\z."""
+    return F.length(F.regexp_extract(text, FRONT_PATTERN.replace(r"\Z", r"\z"), 0))
+
+
 def leaves(lines: list[str], first: int) -> list[Leaf]:
     """The text-bearing blocks of lines[first:]."""
     out: list[Leaf] = []
