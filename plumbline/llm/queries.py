@@ -93,6 +93,28 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op6_substring_dedup, op7_minhash_dedup, op8_source_mix, op9_language_id, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": f"""
+        with recursive rows(id, v, ok) as (
+            select vec_id as id, embedding::double[] as v, coalesce(len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0, false) as ok from embeddings),
+        good as (select id, v from rows where ok),
+        links as (select a.id as a, b.id as b from good a join good b on a.id <> b.id where list_cosine_similarity(a.v, b.v) >= {embedding_dedup.COSINE}),
+        reach(id, seen) as (select id, id from rows union select r.id, l.b from reach r join links l on r.seen = l.a),
+        low as (select id, min(seen) as component_id from reach group by id),
+        n as (select a as id, count(*) as n_links from links group by a)
+        select id as vec_id, coalesce(n_links, 0) as n_links, component_id, id = component_id as kept from low left join n using (id)""",
+    "op7_minhash_dedup": r"""
+        with recursive split as (
+            select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        rows as (
+            select id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from split),
+        shingles as (select id, len(s) as n, unnest(s) as s from rows),
+        links as (
+            select a.id as a, b.id as b from shingles a join shingles b on a.s = b.s and a.id <> b.id
+            group by a.id, b.id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach(id, seen) as (select id, id from rows union select r.id, l.b from reach r join links l on r.seen = l.a),
+        low as (select id, min(seen) as component_id from reach group by id)
+        select id as doc_id, cast(len(s) as bigint) as n_shingles, component_id, id = component_id as kept from low join rows using (id)""",
     "op1_chat_format": r"""
         with c as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
