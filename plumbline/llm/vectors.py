@@ -30,6 +30,8 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; by a power of two first, which is exact and keeps the squares of extreme values finite."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 

@@ -151,6 +151,11 @@ def vectors(n=300, width=16, seed=5):
     return rows + odd, v
 
 
+def test_extreme_vectors(spark):
+    df = spark.createDataFrame([(1, [3e200, 4e200]), (2, [3e-200, 4.1e-200]), (3, [3.0, 4.0]), (4, [-3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_embeddings(spark):
     rows, v = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
