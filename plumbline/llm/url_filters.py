@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialize
 
-#: Rules written as literal expressions; longer lists belong in a joined table.
-MAX_INLINE_RULES = 1000
+#: Rules written as literal expressions; longer lists are joined as a table.
+MAX_INLINE_RULES = 200
 MAX_WORD = 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,16 +35,28 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null; rules are (text, verdict) like ("net/de/", "allow")."""
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"more than {MAX_INLINE_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for text, verdict in sorted(rules, key=lambda r: len(r[0])):
+    for text, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):  # the last one that fits wins: the first listed of a length
         name, _, start = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + start)
         out = F.when(fits, F.struct(F.lit(text).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def with_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """rows(host, path, ...) plus rule and verdict. Many rules become a table that meets the ends of the hosts, with the same results."""
+    if len(rules) <= MAX_INLINE_RULES:
+        rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
+        return rows.select("*", "hit.rule", "hit.verdict").drop("hit")
+    table = rows.sparkSession.createDataFrame([(*t.partition("/")[::2], t, v, i) for i, (t, v) in enumerate(rules)], "name string, start string, rule string, verdict string, i int")
+    ends = F.split("host", r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(ends)), lambda i: F.array_join(F.slice(ends, i, F.size(ends)), "."))
+    met = rows.select("host", "path").distinct().withColumn("name", F.explode(ends)).join(table, "name")
+    met = met.where(F.col("path").startswith(F.concat(F.lit("/"), "start")))
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), -F.col("i"))).alias("hit"))
+    return rows.join(best, ["host", "path"], "left").select(*[rows[c] for c in rows.columns], "hit.rule", "hit.verdict")
+
+
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """(word, n): letters-only words of the visible text of all pages, lower-cased, 2 to MAX_WORD letters."""
     text = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
@@ -108,8 +120,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id",
     """(key, host, path, rule, verdict, score) for every row; score is the log odds of block, null where a rule decides."""
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
-    rows = rows.select("_key", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
+    rows = with_rules(rows, rules)
     # urls repeat; judge each (host, path shape) once. Digits are folded, so that ids do not make every path its own.
     shape = F.regexp_replace(F.lower("path"), r"\p{Nd}+", "0")
     rows = materialize(rows.withColumn("shape", shape), "urls")

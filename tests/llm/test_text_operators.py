@@ -52,6 +52,49 @@ def test_urls(spark):
     assert url_filters.judge(df.limit(0), rules).count() == 0
 
 
+@pytest.mark.parametrize("inline", [0, 200])
+def test_rules(spark, monkeypatch, inline):
+    """Rules as expressions and as a table: the longest that fits, the first listed of a length."""
+    monkeypatch.setattr(url_filters, "MAX_INLINE_RULES", inline)
+    rules = [("a.com/x", "block"), ("com/xyz", "allow"), ("a.com/x", "allow"), ("com/", "block"), ("b.a.com/x/longer", "block"), ("org/abc", "allow"), ("org/abd", "block")]
+    hosts, paths = ["a.com", "b.a.com", "xa.com", "com", "", "org", "a.org.com", "com."], ["", "/", "/x", "/xyz", "/x/longer/y", "/abc", "/abd"]
+    rows = [(h, p) for h in hosts for p in paths]
+
+    def want(h, p):
+        fit = [(-len(t), i, t, v) for i, (t, v) in enumerate(rules) if (h == t.split("/")[0] or h.endswith("." + t.split("/")[0])) and p.startswith("/" + t.partition("/")[2])]
+        return min(fit)[2:] if fit else (None, None)
+
+    got = url_filters.with_rules(spark.createDataFrame(rows, "host string, path string"), rules).collect()
+    assert {(r.host, r.path): (r.rule, r.verdict) for r in got} == {k: want(*k) for k in rows}
+
+
+def brute_split(label, counts, total):
+    """The best split by trying all of them, longest pieces last."""
+    import math
+
+    def score(w):
+        known = [math.log(counts[w] / total)] if len(w) > 1 and w in counts else []
+        return max([-math.log(total + 1) - len(w) * math.log(10), *known])
+
+    best = {0: (0.0, [])}
+    for j in range(1, len(label) + 1):
+        best[j] = max(((best[i][0] + score(label[i:j]), best[i][1] + [label[i:j]]) for i in range(j)), key=lambda x: x[0])
+    return best[len(label)][0], score
+
+
+def test_segmentation_is_best(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abc", k=rng.randrange(2, 5))): rng.randrange(1, 90) for _ in range(25)}
+    labels = sorted({"".join(rng.choices("abcd", k=rng.randrange(1, 14))) for _ in range(60)})
+    got = url_filters.segment_labels(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(list(words.items()), "word string, n long")).collect()
+    assert len(got) == len(labels)
+    for r in got:
+        top, score = brute_split(r.label, words, sum(words.values()))
+        assert "".join(r.words) == r.label and sum(map(score, r.words)) == pytest.approx(top)
+
+
 def test_segmentation(spark):
     counts = spark.createDataFrame([("cheap", 50), ("pills", 40), ("che", 1), ("app", 3), ("ills", 1)], "word string, n long")
     labels = spark.createDataFrame([("cheappills",), ("zzz",), (None,), ("",)], "label string")
