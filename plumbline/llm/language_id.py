@@ -257,7 +257,7 @@ def entropies(rows: DataFrame, model: Model, keep: list[str], text: str = "text"
         m = shared.value
         known, costs = np.zeros(0, U), np.zeros((0, width), np.float32)
         for batch in batches:
-            for a, b in tokens.slices(batch.column(len(keep)), 2 * tokens.SLICE_BYTES):
+            for a, b in tokens.slices(batch.column(len(keep))):
                 part = batch.slice(a, b - a)
                 codes, starts, lengths, offsets = words_of(part.column(len(keep)))
                 hashes, index, inverse = unique_words(codes, starts, lengths)
