@@ -225,6 +225,38 @@ def test_passages_of_frequent_sentences(spark):
     assert all(r.start <= 42 and r.end >= 98 for r in rows)
 
 
+def test_passages_of_repeated_words(spark):
+    """Stretches of one word or a few, over and over, beside texts of smaller stretches; a pair has few rows, not one per shift."""
+    rng = random.Random(13)
+    make = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
+    x, y, abc = ["x"], ["y"], ["a", "b", "c"]
+    docs = [make(20) + (x * 10, y * 10, x * 10 + y * 10, abc * 5)[i % 4] + make(40) for i in range(40)]
+    docs += [make(20) + x * 60 + make(30), make(35) + x * 75 + make(9)]
+    docs += [make(20) + abc * 20 + make(30), make(35) + abc * 31 + make(9)]
+    docs += [make(20) + y * 44 + x * 30 + make(30), make(35) + y * 30 + x * 44 + make(9)]
+    docs += [make(20) + ["z"] * 43 + make(30), make(35) + ["z"] * 40 + make(30)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    got = {(r.doc_id, r.other_id) for r in rows}
+    assert got >= {(i, j) for k in range(40, 48, 2) for i, j in ((k, k + 1), (k + 1, k))}
+    assert not any(i < 40 for pair in got for i in pair)
+    assert len(rows) <= 6 * len(got)
+
+
+def test_periodic():
+    """Against its definition, place by place."""
+    rng = random.Random(14)
+    for _ in range(200):
+        lists = [[rng.randrange(3) for _ in range(rng.randrange(5))] * rng.randrange(9) + [rng.randrange(2) for _ in range(rng.randrange(6))] for _ in range(3)]
+        hashes, text = np.array([h for x in lists for h in x], np.uint64), np.repeat(np.arange(3), [len(x) for x in lists])
+        inside, last = substring_dedup.periodic(hashes, text)
+        same = lambda t, i, p: all(0 <= j - p and j < len(t) and t[j] == t[j - p] for j in range(i - p + 1, i + 1))
+        periods = range(1, substring_dedup.SPAN + 1)
+        want = [any(same(t, i, p) and same(t, i + p, p) for p in periods) for t in lists for i in range(len(t))]
+        before = [any(same(t, i, p) for p in periods) for t in lists for i in range(len(t))]
+        assert inside.tolist() == want and last.tolist() == [b and not w for b, w in zip(before, want, strict=True)]
+
+
 def test_passages_of_similarity(spark):
     """Copies of 60 to 100 words with 10 to 20 % of the words changed, evenly or at random, against the diagonal by brute force."""
     rng = random.Random(12)
