@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.rules import Settings
@@ -16,6 +16,20 @@ NOTHING_FOUND = "none; simplify wording only where that is plainly better"
 FIX_TEXT = "\n\nText:\n"
 
 
+def prompts(lines: DataFrame) -> DataFrame:
+    """(prompt) of lines(value): trimmed, without empty ones and # comments."""
+    line = F.regexp_replace("value", r"^[\s\x85\p{Z}]+|[\s\x85\p{Z}]+$", "")
+    return lines.select(line.alias("prompt")).where((F.col("prompt") != "") & ~F.col("prompt").startswith("#"))
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt) of a prompt file; a file without any is an error."""
+    out = prompts(spark.read.text(path))
+    if out.isEmpty():
+        raise ValueError(f"no prompts in {path}")
+    return out
+
+
 def tasks(models: DataFrame, prompts: DataFrame) -> DataFrame:
     """Every (model, prompt): the request list, models times prompts by definition; prompts is the small side."""
     return models.crossJoin(prompts)
@@ -39,13 +53,14 @@ def short_error(text: Column) -> Column:
     return F.when(F.octet_length(line) > ERROR_BYTES, F.concat(cut, F.lit("…"))).otherwise(line)
 
 
-def samples(replies: DataFrame, settings: Settings | None = None) -> DataFrame:
+def samples(replies: DataFrame, settings: Settings | None = None, markdown: bool = True) -> DataFrame:
     """replies(seq, model, family, output, err) plus words and by_rule, the reply's findings by rule.
 
-    Replies are linted as Markdown if they have a markdown column. A failed reply has no words and no findings.
+    Replies are linted as Markdown, unless markdown says otherwise; a column of that name decides for each reply. A
+    failed reply has no words and no findings. seq names a reply.
     """
     good = replies.where("err is null")
-    docs = good.select(F.col("seq").alias("path"), F.col("output").alias("text"), *(["markdown"] if "markdown" in replies.columns else []))
+    docs = good.select(F.col("seq").alias("path"), F.col("output").alias("text"), *(["markdown"] if "markdown" in replies.columns else [F.lit(True).alias("markdown")] if markdown else []))
     per = lint(docs, settings or Settings(slop=True)).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
     maps = per.groupBy(F.col("path").alias("seq")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "n")))).alias("by_rule"))
     out = replies.join(maps, "seq", "left")
@@ -83,6 +98,25 @@ def by_family(models: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("slop_per_100"), "first_seq").drop("first_seq")
 
 
+#: The lines of the text report.
+FAMILY_LINE = "  %-12s slop %6.2f  all %6.2f  (%d models, %d words)"
+MODEL_LINE = "  %-28s %-10s slop %6.2f  all %6.2f  (%d words)"
+
+
+def text_report(models: DataFrame) -> DataFrame:
+    """(section, place, report) of by_model rows, ordered by the first two: families, most slop first, then models as first seen."""
+    families = by_family(models)
+    line = F.format_string(FAMILY_LINE, "family", "slop_per_100", "total_per_100", "models", "words")
+    # ties of the density go by the family's first sample
+    first = models.groupBy("family").agg(F.min("first_seq").alias("first_seq"))
+    place = F.struct((-F.col("slop_per_100")).alias("density"), "first_seq")
+    top = families.join(first, "family").select(F.lit(0).alias("section"), place.alias("place"), line.alias("report"))
+    note = F.when(F.col("errors") > 0, F.format_string("  [%d errors: %s]", "errors", "first_error")).otherwise("")
+    line = F.concat(F.format_string(MODEL_LINE, "model", "family", "slop_per_100", "total_per_100", "words"), note)
+    rest = models.select(F.lit(1).alias("section"), F.struct(F.lit(0.0).alias("density"), "first_seq").alias("place"), line.alias("report"))
+    return top.unionByName(rest).orderBy("section", "place")
+
+
 def fix_prompts(docs: DataFrame, issues: DataFrame) -> DataFrame:
     """(path, prompt): the rewriting task of each document with its issues(path, issues)."""
     rows = docs.join(issues, "path", "left")

@@ -93,6 +93,20 @@ def json(findings: DataFrame) -> DataFrame:
     return out.select("path", F.size("findings").cast("long").alias("n"), F.to_json(F.struct("path", "findings")).alias("json"))
 
 
+def json_document(findings: DataFrame) -> DataFrame:
+    """(part, path, report): the lines of one JSON document of all files and the summary, in the order of part and path.
+
+    Every file is a row of its own, so no task gathers them. findings are read twice: write them first if they are dear.
+    """
+    rows = json(findings)
+    first = rows.agg(F.min("path").alias("first"))
+    body = rows.join(F.broadcast(first)).select(F.lit(1).alias("part"), "path", F.concat(F.when(F.col("path") > F.col("first"), ",").otherwise(""), "json").alias("report"))  # one row
+    counts = summary(findings).select(F.to_json(F.struct("errors", "warnings", "suggestions", "total")).alias("counts"))
+    head = counts.select(F.lit(0).alias("part"), F.lit("").alias("path"), F.lit('{"results":[').alias("report"))
+    tail = counts.select(F.lit(2).alias("part"), F.lit("").alias("path"), F.concat(F.lit('],"summary":'), "counts", F.lit("}")).alias("report"))
+    return head.unionByName(body).unionByName(tail)
+
+
 def utf16_column(line: Column, col: Column) -> Column:
     """UTF-16 units before a 1-based code-point column; columns beyond the line count as its end."""
     return F.when(col <= 1, 0).otherwise((F.octet_length(F.encode(F.substring(line, F.lit(1), col - 1), "UTF-16BE")) / 2).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.functions import lexicons as lex
 from plumbline.queries import (
-    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, MODELS, PATHS, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
+    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, MODELS, PATHS, PROMPT_LINES, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
 )
 from plumbline.operators.evaluation import FIX_TASK, FIX_TEXT, NOTHING_FOUND
 from plumbline.operators.report import SOURCE
@@ -305,6 +305,10 @@ ORACLE_SQL: dict[str, str] = {
     "eval_by_model": evaluated("select * from by_model"),
     "eval_by_family": evaluated("""select *, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end as slop_per_100, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end as total_per_100
         from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)"""),
+    "eval_report": evaluated("""select cast(0 as integer) as section, printf('  %-12s slop %6.2f  all %6.2f  (%d models, %d words)', family, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end, models, words) as report
+        from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)
+        union all select 1, printf('  %-28s %-10s slop %6.2f  all %6.2f  (%d words)', model, family, slop_per_100, total_per_100, words) || case when errors > 0 then printf('  [%d errors: %s]', errors, first_error) else '' end from by_model"""),
+    "eval_prompts": f"select p as prompt from (select regexp_replace(value, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as p from {values([(p,) for p in PROMPT_LINES], 'value')}) where p <> '' and p not like '#%'",
     "md_frontmatter": f"select text, cast(length(regexp_extract(text, {q(FRONT_PATTERN.replace(chr(92) + 'Z', chr(92) + 'z'))}, 0)) as integer) as front_end from {values([(t,) for t in FRONT_MATTER], 'text')}",
     "fix_prompt": with_(*LOOKUPS, *SUPPRESS, *FOUND, f"""by_rule as (
             select path, rule_id, min_by(severity, {{'line': line, 'col': col, 'severity': severity}}) as severity, count(*) as n, case when min(hint) = max(hint) then min(hint) else '' end as shared_hint from kept group by path, rule_id),

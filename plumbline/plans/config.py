@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -10,8 +11,17 @@ from typing import Any
 from plumbline.functions import lexicons
 from plumbline.operators.rules import Settings
 from plumbline.plans.engine import RANK
+from plumbline.sources.files import nearest
 from plumbline.sources.wordset import allowed_set
 
+#: Names of the files that are looked for.
+APP = "plumbline"
+USER_FILES = ("config.yaml", "config.yml")
+PROJECT_FILES = (".plumbline.yaml", ".plumbline.yml")
+LOCAL_FILES = (".plumbline.local.yaml", ".plumbline.local.yml")
+STORE_FILES = (".plumbline.vocab.yaml",)
+USER_STORE = "vocab.yaml"
+
 
 @dataclass
 class Config:
@@ -74,3 +84,46 @@ def load(paths: Iterable[str], explicit: str | None = None) -> Config:
     if explicit:
         merge(config, yaml.safe_load(Path(explicit).read_text()))
     return config.validate()
+
+
+def discover(folder: str = ".", env: Mapping[str, str] | None = None) -> list[str]:
+    """The configuration files that exist for a folder, lowest first.
+
+    System folders (the first listed is the strongest), the user's file, the user's learned vocabulary, then the nearest
+    project file, project-local file and project vocabulary, each found by itself in the folder or above it.
+    """
+    env = os.environ if env is None else env
+    home = Path(env["HOME"]) if env.get("HOME") else None
+    own = lambda key, *rest: Path(env[key]) if env.get(key) else home and home.joinpath(*rest)
+    system = [Path(d) for d in (env.get("XDG_CONFIG_DIRS") or "/etc/xdg").split(os.pathsep) if d]
+    user, state = own("XDG_CONFIG_HOME", ".config"), own("XDG_STATE_HOME", ".local", "state")
+    of = lambda d, names: next((f for f in (d / APP / n for n in names) if f.is_file()), None) if d else None
+    found = [*(of(d, USER_FILES) for d in reversed(system)), of(user, USER_FILES), of(state, [USER_STORE])]
+    found += [nearest(folder, names) for names in (PROJECT_FILES, LOCAL_FILES, STORE_FILES)]
+    return [str(f) for f in found if f]
+
+
+def read_store(path: str) -> tuple[list[str], list[str]]:
+    """(allow, deny) of a vocabulary file; a missing file is an empty one."""
+    import yaml
+
+    at = Path(path)
+    terms = ((yaml.safe_load(at.read_text()) if at.is_file() else None) or {}).get("vocabulary") or {}
+    return list(terms.get("allow") or []), list(terms.get("deny") or [])
+
+
+def update_store(path: str, allow: Iterable[str] = (), deny: Iterable[str] = ()) -> tuple[list[str], list[str]]:
+    """Adds terms to a vocabulary file and gives all it holds then: trimmed, lower-cased, sorted, each once.
+
+    The file is written anew beside the old one and takes its place at once.
+    """
+    import yaml
+
+    old = read_store(path)
+    new = tuple(sorted(allowed_set((), [*have, *more], ())) for have, more in zip(old, (allow, deny), strict=True))
+    at = Path(path)
+    at.parent.mkdir(parents=True, exist_ok=True)
+    part = at.with_name(at.name + ".part")
+    part.write_text("# Learned terms; rewritten by the program.\n" + yaml.safe_dump({"vocabulary": {"allow": new[0], "deny": new[1]}}, allow_unicode=True, sort_keys=False))
+    part.replace(at)
+    return new

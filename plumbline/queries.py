@@ -56,6 +56,7 @@ ALTERNATIVES = [
 ]
 ALLOW, DENY = [" Valve ", "able", "API", ""], ["api", "Deploy"]
 FAMILIES = [("src0", "alpha"), ("src1", "beta"), ("src2", "")]
+PROMPT_LINES = ["# describe", "Describe a pump.", "", "  Explain a valve.\t", "\u3000", " # not this", "Why # here?", "Describe a pump."]
 MODELS, PROMPTS = ["m1", "m2", "m3"], ["Describe a pump.", "Explain a valve."]
 SEVERITIES = {"STE.IngForms": "error", "STE.PassiveVoice": "suggestion", "STE.Contractions": "loud"}
 DISABLED = ["STE.IngForms", "STE.SlopNominalization"]
@@ -116,7 +117,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
     rows = rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("seq"), F.lit("chat").alias("model"), F.lit("none").alias("family"), F.col("text").alias("output"), F.lit(None).cast("string").alias("err"))
-    out = evaluation.samples(rows)
+    out = evaluation.samples(rows)  # as Markdown
     return out.select("seq", "words", evaluation.total(F.col("by_rule")).alias("findings"), evaluation.total(F.col("by_rule"), evaluation.SLOP).alias("slop"))
 
 
@@ -170,7 +171,7 @@ def fix_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _eval(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(evaluation.samples(replies(spark, sf_dir)))
+    return lambda spark, sf_dir: f(evaluation.samples(replies(spark, sf_dir), markdown=False))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -211,6 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_by_rule": _eval(evaluation.by_rule),
     "eval_by_model": _eval(evaluation.by_model),
     "eval_by_family": _eval(lambda r: evaluation.by_family(evaluation.by_model(r))),
+    "eval_report": _eval(lambda r: evaluation.text_report(evaluation.by_model(r)).select("section", "report")),
+    "eval_prompts": lambda s, d: evaluation.prompts(one_column(s, PROMPT_LINES, "value")),
     "md_mask": md_mask,
     "md_frontmatter": md_frontmatter,
     "fix_prompt": fix_prompt,

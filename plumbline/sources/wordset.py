@@ -54,3 +54,13 @@ def allowed_set(builtin: Iterable[str], allow: Iterable[str], deny: Iterable[str
 def to_settings(subs: DataFrame) -> dict[str, list[str]]:
     """Substitutions as the rules take them; a wordset is a dictionary of words, bounded by language, not by the corpus."""
     return {r["word"]: list(r["alternatives"]) for r in subs.collect()}
+
+
+def write_substitutions(subs: DataFrame, path: str) -> None:
+    """One JSON file of the substitutions, sorted by word: the same rows give the same file. Bounded like to_settings."""
+    subs.select("word", "alternatives").repartition(1).sortWithinPartitions("word").write.mode("overwrite").json(path)
+
+
+def read_substitutions(spark: SparkSession, path: str) -> DataFrame:
+    """(word, alternatives) as written."""
+    return spark.read.schema("word string, alternatives array<string>").json(path)
