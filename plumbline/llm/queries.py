@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.arrays import let
 from plumbline.llm import (
-    chat_format, embedding_dedup, language_id, merkle_manifest, minhash_dedup, nearest_neighbours, periodic_runs, secret_scans, sentencepiece_codec,
-    source_mixing, substring_dedup, url_filters,
+    chat_format, embedding_dedup, language_id, merkle_manifest, minhash_dedup, nearest_neighbours, periodic_runs, quality_crf, secret_scans,
+    sentencepiece_codec, source_mixing, substring_dedup, url_filters,
 )
 from plumbline.llm.common import WORD, table
 
@@ -108,6 +108,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(docs, [*fields, "text"], claimed=claimed)
 
 
+#: A document is good from this score on. A fixed value of the contract.
+GOOD_SCORE = 0.3
+
+
+def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels of those not held out: one in five is, by its id's crc32."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(id_crc() % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
+    got = quality_crf.quality(docs, labels, with_lines=False)
+    return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
 def planted(text: Column) -> Column:
     """The text, or for one document in ten its words with a period of p from word a on (the contract's rule)."""
     g = F.floor(id_crc() / 10)
@@ -138,7 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_url_filter, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op6_substring_dedup, op7_minhash_dedup, op8_source_mix, op9_language_id,
-        op10_nearest_neighbours, op11_merkle_manifest, op13_periodic_runs,
+        op10_nearest_neighbours, op11_merkle_manifest, op12_quality_crf, op13_periodic_runs,
     )
 }
 
