@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Arrays up to this size are summed in one run.
+#: Elements that are summed in one run.
 FEW = 48
 
 
@@ -20,22 +20,46 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
-def _before(arr: Column) -> Column:
-    """struct(sums, total): the sum of the elements before each one; copies grow with the square, so for short arrays."""
-    zero = F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("total"))
-    return F.aggregate(arr, zero, lambda s, x: F.struct(F.array_append(s["sums"], s["total"]).alias("sums"), (s["total"] + x).alias("total")))
+Op = Callable[[Column, Column], Column]
 
 
-def offsets(lengths: Column) -> Column:
-    """For array<int>: the sum of all elements before each one, in runs of about the square root of the size."""
-    return let(lengths, lambda a: F.when(F.size(a) <= FEW, _before(a)["sums"]).otherwise(_offsets(a)))
+def _before(arr: Column, op: Op, kind: str) -> Column:
+    """struct(sums, total): op over the elements before each one, and over all; copies grow with the square, so for short arrays."""
+    zero = F.struct(F.array().cast(f"array<{kind}>").alias("sums"), F.lit(0).cast(kind).alias("total"))
+    return F.aggregate(arr, zero, lambda s, x: F.struct(F.array_append(s["sums"], s["total"]).alias("sums"), op(s["total"], x).cast(kind).alias("total")))
+
+
+def running(arr: Column, op: Op, kind: str = "int") -> Column:
+    """For an array of kind: op over all elements before each one, in time that grows with the size.
+
+    op is associative and 0 is neutral to it. Runs of FEW elements are added up one by one; the runs' totals are doubled up.
+    """
+    return let(arr, lambda a: F.when(F.size(a) <= FEW, _before(a, op, kind)["sums"]).otherwise(_running(a, op, kind)))
+
 
+def _running(arr: Column, op: Op, kind: str) -> Column:
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(arr), F.lit(1)) - 1, F.lit(FEW)), lambda i: _before(F.slice(arr, i + 1, F.lit(FEW)), op, kind))
+    ahead = lambda r: _doubled(F.transform(r, lambda x: x["total"]), op, kind)
+    return let(runs, lambda r: F.flatten(F.zip_with(r, ahead(r), lambda x, a: F.transform(x["sums"], lambda s: op(a, s)))))
 
-def _offsets(lengths: Column) -> Column:
-    run = F.greatest(F.ceil(F.sqrt(F.size(lengths))), F.lit(1)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths), F.lit(1)) - 1, run), lambda i: _before(F.slice(lengths, i + 1, run)))
-    ahead = lambda r: _before(F.transform(r, lambda x: x["total"]))["sums"]
-    return let(runs, lambda r: F.flatten(F.zip_with(r, ahead(r), lambda x, a: F.transform(x["sums"], lambda s: s + a))))
+
+def _doubled(arr: Column, op: Op, kind: str) -> Column:
+    """op over the elements before each one: after k steps each place holds that over the 2**k elements before it."""
+    zero = F.lit(0).cast(kind)
+
+    def step(a: Column, k: Column) -> Column:
+        reach = F.call_function("shiftleft", F.lit(1), k)
+        back = F.concat(F.array_repeat(zero, F.least(reach, F.size(a))), F.slice(a, F.lit(1), F.greatest(F.size(a) - reach, F.lit(0))))
+        return F.zip_with(a, back, lambda x, y: op(y, x).cast(kind))
+
+    shifted = F.concat(F.array(zero), F.slice(arr, F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))))
+    steps = F.ceil(F.log2(F.greatest(F.size(arr), F.lit(2)).cast("double"))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), steps - 1), shifted, step)
+
+
+def offsets(lengths: Column) -> Column:
+    """For array<int>: the sum of all elements before each one."""
+    return running(lengths, lambda a, b: a + b)
 
 
 def found(arr: Column) -> Column:

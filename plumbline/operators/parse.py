@@ -1,7 +1,7 @@
 """Text to lines, blocks, tokens and sentences, row by row.
 
-No step shuffles: a document's lines are grouped into blocks, each line is cut into tokens, and a block's tokens are
-cut into sentences by a regular expression over one letter per token. Rows only fan out (blocks, then sentences).
+No step shuffles: a document's lines are grouped into blocks, a block's text is cut into sentences, and each line of a
+sentence into tokens. Rows only fan out (blocks, then sentences), and each row holds its own part of the text alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from plumbline.functions.arrays import let, offsets
 BLANK = r"^[\s\x85\p{Z}]*$"
 #: Words and numbers joined by ' ’ or -, or any one character, each with the blanks behind it. The pieces make up the whole line.
 PIECE = r"(?s)(?:[\p{L}\p{Nd}]+(?:['’\-][\p{L}\p{Nd}]+)*|.)[ \t]*+"
+#: The place behind a mark that ends a sentence.
+SENTENCE_END = r"(?<=[!?])|(?<=\.)(?=[^\p{L}\p{Nd}.!?]*+(?:[\p{Lu}\p{Nd}]|\z))"
 TOKEN = "struct<text:string,lower:string,kind:string,line:int,col:int,end_line:int,end_col:int>"
 
 
@@ -50,62 +52,69 @@ def lines(docs: DataFrame) -> DataFrame:
     return both.select("path", F.col("x.p.line").alias("line"), F.col("x.src").alias("src"), F.col("x.p.masked").alias("masked"), F.col("x.p.kind").alias("kind"), F.col("x.p.blank").alias("blank"))
 
 
-def block_lines(docs: DataFrame) -> DataFrame:
-    """(path, block_id, block_kind, prose): runs of lines without a blank one; a heading or list line stands alone."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """(path, block_id, block_kind, start, n_lines, body) of every block: a run of lines without a blank one; a heading or list line stands alone.
+
+    Each block is cut out of its document before rows fan out, so a row holds its own lines and no others.
+    """
     letter = lambda p: F.when(p["blank"], "b").when(p["kind"] == "heading", "h").when(p["kind"] == "list", "l").otherwise("p")
-    rows = with_lines(docs).withColumn("shape", F.array_join(F.transform("prose", letter), ""))
-    rows = rows.withColumn("runs", F.regexp_extract_all("shape", F.lit("p+|h|l|b"), F.lit(0)))
-    rows = rows.withColumn("at", offsets(F.transform("runs", lambda r: F.length(r))))
-    spans = F.filter(F.zip_with("runs", "at", lambda r, a: F.struct(r.alias("run"), a.alias("at"))), lambda x: ~x["run"].startswith("b"))
-    rows = rows.select("path", "prose", F.posexplode(spans).alias("block_id", "x"))
-    kind = F.when(F.col("x.run") == "h", "heading").when(F.col("x.run") == "l", "list").otherwise("paragraph")
-    return rows.select("path", "block_id", kind.alias("block_kind"), F.slice("prose", F.col("x.at") + 1, F.length("x.run")).alias("prose"))
 
+    def cut(prose: Column, runs: Column) -> Column:
+        spans = F.zip_with(runs, offsets(F.transform(runs, lambda r: F.length(r))), lambda r, a: F.struct(r.alias("run"), a.alias("at")))
+        some = F.filter(spans, lambda x: ~x["run"].startswith("b"))
+        body = lambda x: F.array_join(F.transform(F.slice(prose, x["at"] + 1, F.length(x["run"])), lambda p: p["masked"]), "\n")
+        kind = lambda x: F.when(x["run"] == "h", "heading").when(x["run"] == "l", "list").otherwise("paragraph")
+        return F.transform(some, lambda x: F.struct(kind(x).alias("block_kind"), F.get(prose, x["at"])["line"].alias("start"), F.length(x["run"]).alias("n_lines"), body(x).alias("body")))
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(path, block_id, block_kind, start, n_lines, body) of every block."""
-    body = F.array_join(F.transform("prose", lambda p: p["masked"]), "\n")
-    return block_lines(docs).select("path", "block_id", "block_kind", F.element_at("prose", 1)["line"].alias("start"), F.size("prose").alias("n_lines"), body.alias("body"))
+    shape = lambda prose: F.regexp_extract_all(F.array_join(F.transform(prose, letter), ""), F.lit("p+|h|l|b"), F.lit(0))
+    found = let(F.col("prose"), lambda prose: let(shape(prose), lambda runs: cut(prose, runs)))
+    return with_lines(docs).select("path", F.posexplode(found).alias("block_id", "x")).select("path", "block_id", "x.*")
 
 
-def line_tokens(prose: Column) -> Column:
-    """The tokens of one line: its pieces at their offsets; blanks that open the line are a piece of their own, left out."""
+def line_tokens(line: Column, number: Column, col: Column) -> Column:
+    """The tokens of a piece of a line from a column on: its parts at their offsets; blanks that open it are a part of their own, left out."""
 
     def token(x: Column) -> Column:
-        text, col = F.rtrim(x["text"], F.lit(" \t")), x["at"] + 1
+        text, at = F.rtrim(x["text"], F.lit(" \t")), x["at"] + col
         kind = F.when(F.rlike(text, F.lit(r"^\p{L}")), "word").when(F.rlike(text, F.lit(r"^\p{Nd}")), "number").otherwise("punct")
-        return F.struct(text.alias("text"), F.lower(text).alias("lower"), kind.alias("kind"), prose["line"].alias("line"), col.alias("col"), prose["line"].alias("end_line"), (col + F.length(text)).alias("end_col"))
+        return F.struct(text.alias("text"), F.lower(text).alias("lower"), kind.alias("kind"), number.alias("line"), at.alias("col"), number.alias("end_line"), (at + F.length(text)).alias("end_col"))
 
     def placed(pieces: Column) -> Column:
         both = F.zip_with(pieces, offsets(F.transform(pieces, lambda p: F.length(p))), lambda p, a: F.struct(p.alias("text"), a.alias("at")))
         return F.transform(F.filter(both, lambda x: ~x["text"].startswith(" ") & ~x["text"].startswith("\t")), token)
 
-    return let(F.regexp_extract_all(prose["masked"], F.lit(PIECE), F.lit(0)), placed)
+    return let(F.regexp_extract_all(line, F.lit(PIECE), F.lit(0)), placed)
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
-    """(path, block_id, block_kind, toks): the tokens of every block in order."""
-    return block_lines(docs).select("path", "block_id", "block_kind", F.flatten(F.transform("prose", line_tokens)).alias("toks"))
+def sentence_texts(docs: DataFrame) -> DataFrame:
+    """(path, block_id, block_kind, sent_id, line, col, body): where each sentence of a block begins, and its text; sent_id counts inside the block.
 
+    ! and ? always end a sentence. A full stop does if, past what is neither a word nor . ! or ?, a capital or a digit
+    follows or nothing. A heading is one sentence. Sentences are cut out of the block's text, so a block of any length
+    costs what its text does, and a row holds one sentence.
+    """
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(path, block_id, block_kind, sent_id, toks): sent_id counts inside the block.
+    def cut(body: Column, kind: Column) -> Column:
+        parts = F.when(kind == "heading", F.array(body)).otherwise(F.split(body, SENTENCE_END, -1))
+        some = F.filter(parts, lambda s: ~F.rlike(s, F.lit(r"\A[ \t\n]*+\z")))
+        line_at = offsets(F.transform(F.split(body, "\n", -1), lambda s: F.length(s) + 1))
+        return let(some, lambda some: let(line_at, lambda line_at: placed(some, line_at)))
 
-    One letter stands for a token: U opens with a capital or digit, l is another word, ! is ! or ?, p other punctuation.
-    ! always ends a sentence. A full stop does if, past other punctuation, a U follows or nothing.
-    """
-    text = lambda t: t["text"]
-    letter = lambda t: (
-        F.when(t["kind"] == "number", "U").when(t["kind"] == "word", F.when(F.rlike(text(t), F.lit(r"^\p{Lu}")), "U").otherwise("l"))
-        .when(text(t) == ".", ".").when(text(t).isin("!", "?"), "!").otherwise("p")
-    )
-    rows = tokenized(docs).withColumn("shape", F.array_join(F.transform("toks", letter), ""))
-    cut = F.filter(F.split(F.regexp_replace("shape", r"!|\.(?=p*+(?:U|$))", "$0\n"), "\n", -1), lambda s: s != "")
-    rows = rows.withColumn("parts", F.when(F.col("block_kind") == "heading", F.filter(F.array("shape"), lambda s: s != "")).otherwise(cut))
-    rows = rows.withColumn("at", offsets(F.transform("parts", lambda p: F.length(p))))
-    spans = F.zip_with("parts", F.slice("at", F.lit(1), F.size("parts")), lambda p, a: F.struct(a.alias("at"), F.length(p).alias("n")))
-    rows = rows.select("path", "block_id", "block_kind", "toks", F.posexplode(spans).alias("sent_id", "s"))
-    return rows.select("path", "block_id", "block_kind", "sent_id", F.slice("toks", F.col("s.at") + 1, F.col("s.n")).alias("toks"))
+    def placed(parts: Column, line_at: Column) -> Column:
+        at = offsets(F.transform(parts, lambda s: F.length(s)))
+        line = offsets(F.transform(parts, lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))))
+        rows = F.arrays_zip(parts.alias("body"), F.slice(at, F.lit(1), F.size(parts)).alias("at"), F.slice(line, F.lit(1), F.size(parts)).alias("line"))
+        return F.transform(rows, lambda r: F.struct(r["line"].alias("line"), (r["at"] - F.get(line_at, r["line"]) + 1).alias("col"), r["body"].alias("body")))
+
+    rows = blocks(docs).select("path", "block_id", "block_kind", "start", F.posexplode(cut(F.col("body"), F.col("block_kind"))).alias("sent_id", "s"))
+    return rows.select("path", "block_id", "block_kind", "sent_id", (F.col("start") + F.col("s.line")).alias("line"), F.col("s.col").alias("col"), F.col("s.body").alias("body"))
+
+
+def sentences(docs: DataFrame, deal: int = 0) -> DataFrame:
+    """(path, block_id, block_kind, sent_id, toks): the tokens of every sentence; deal > 0 deals the sentences to as many partitions first."""
+    piece = lambda s, i: line_tokens(s, F.col("line") + i, F.when(i == 0, F.col("col")).otherwise(1))
+    rows = sentence_texts(docs)
+    return (rows.repartition(deal) if deal else rows).select("path", "block_id", "block_kind", "sent_id", F.flatten(F.transform(F.split("body", "\n", -1), piece)).alias("toks"))
 
 
 def words_of(toks: Column) -> Column:

@@ -32,10 +32,13 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def run_rules(docs: DataFrame, some: Iterable[Rule]) -> DataFrame:
-    """Findings of the rules with their default severities, unordered; docs(path, text[, markdown])."""
+def run_rules(docs: DataFrame, some: Iterable[Rule], deal: int = 0) -> DataFrame:
+    """Findings of the rules with their default severities, unordered; docs(path, text[, markdown]).
+
+    deal: for inputs of a few very long texts, the partitions that sentences are dealt to; their texts are shuffled once.
+    """
     some = list(some)
-    rows = parse.sentences(docs)
+    rows = parse.sentences(docs, deal)
     if not some:
         return rows.limit(0).select(*[F.lit(0).alias(c) if c in ("line", "col", "end_line", "end_col") else F.col("path") if c == "path" else F.lit("").alias(c) for c in COLUMNS])
     checked = lambda toks, words: F.concat(*[F.transform(r.check(F.col("block_kind"), toks, words), _named(r)) for r in some])
@@ -62,10 +65,10 @@ def at_least(findings: DataFrame, severity: str) -> DataFrame:
     return findings.where(rank(F.col("severity")) >= RANK[name]) if name in RANK else findings
 
 
-def lint(docs: DataFrame, settings: Settings | None = None, disabled: Iterable[str] = (), severities: Mapping[str, str] | None = None, least: str = "", keyword: str = suppress.KEYWORD) -> DataFrame:
-    """All findings of docs(path, text[, markdown]) that no directive suppresses, unordered."""
+def lint(docs: DataFrame, settings: Settings | None = None, disabled: Iterable[str] = (), severities: Mapping[str, str] | None = None, least: str = "", keyword: str = suppress.KEYWORD, deal: int = 0) -> DataFrame:
+    """All findings of docs(path, text[, markdown]) that no directive suppresses, unordered; deal as in run_rules."""
     off = set(disabled)
-    out = run_rules(docs, [r for r in rules(settings) if r.id not in off])
+    out = run_rules(docs, [r for r in rules(settings) if r.id not in off], deal)
     out = suppress.without_suppressed(override(out, severities or {}), docs, keyword)
     return at_least(out, least)
 
