@@ -6,14 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import let
+from plumbline.functions.arrays import running
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Fixed by Spark's SQL parser: the same class, for use inside SQL string literals.
@@ -125,31 +125,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _before(arr: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """struct(pre, at): op over the elements before each one, from 0, and over all; quadratic, so for short arrays."""
-    start = F.struct(F.array().cast("array<bigint>").alias("pre"), F.lit(0).cast("long").alias("at"))
-    return F.aggregate(arr, start, lambda s, x: F.struct(F.array_append(s["pre"], s["at"]).alias("pre"), op(s["at"], x).alias("at")))
-
-
-def running(arr: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """For array<bigint>: op over all elements before each one, from 0; in two levels, so n elements cost n**1.5 copies at most.
-
-    op is associative and 0 is neutral to it.
-    """
-    step = F.greatest(F.ceil(F.sqrt(F.size(arr))), F.lit(1)).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(arr), F.lit(1)) - 1, step), lambda i: _before(F.slice(arr, i + 1, step), op))
-
-    def whole(c: Column) -> Column:
-        ahead = _before(F.transform(c, lambda x: x["at"]), op)["pre"]
-        return F.flatten(F.zip_with(c, ahead, lambda x, o: F.transform(x["pre"], lambda p: op(o, p))))
-
-    return let(chunks, whole)
-
-
 def running_sum(arr: Column) -> Column:
-    return running(arr, lambda a, b: a + b)
+    """The sum of the elements of array<bigint> before each one."""
+    return running(arr, lambda a, b: a + b, "bigint")
 
 
 def running_max(arr: Column) -> Column:
-    """The largest element before each one, 0 at least."""
-    return running(arr, lambda a, b: F.greatest(a, b))
+    """The largest element of array<bigint> before each one, 0 at least."""
+    return running(arr, lambda a, b: F.greatest(a, b), "bigint")

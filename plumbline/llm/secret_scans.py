@@ -9,6 +9,8 @@ different kinds may. Two spans with one start are ordered by kind as listed in K
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -49,25 +51,51 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,hit:string,part:string>>"))
 
 
-def window_entropy(word: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of any window of word.
+#: A count takes COUNT_BITS bits, so a long holds COUNTS of them: windows have up to 31 characters.
+COUNT_BITS, COUNTS = 5, 12
+#: Terms n * log2(n) are kept as whole numbers of this part of a bit, so sums are exact in any order.
+PARTS = 2**40
 
-    Counts per character are kept incrementally: a step adds one character and drops the one that leaves, and the
-    sum of n * log2(n) changes by their two terms alone.
-    """
-    term = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    start = F.struct(F.array_repeat(F.lit(0.0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("top"))
 
-    def step(a: Column, i: Column) -> Column:
-        into = F.instr(F.lit(alphabet), F.substring(word, i, F.lit(1)))
-        out = F.when(i > window, F.instr(F.lit(alphabet), F.substring(word, i - window, F.lit(1)))).otherwise(F.lit(-1))
-        less = F.when(out >= 0, F.element_at(a["n"], out + 1)).otherwise(F.lit(0.0))
-        more = F.element_at(a["n"], into + 1) - F.when(into == out, F.lit(1.0)).otherwise(F.lit(0.0))
-        s = a["s"] - F.when(out >= 0, term(less) - term(less - 1)).otherwise(F.lit(0.0)) + term(more + 1) - term(more)
-        counts = F.transform(a["n"], lambda n, k: n + (k == into).cast("double") - (k == out).cast("double"))
-        return F.struct(counts.alias("n"), s.alias("s"), F.when(i >= window, F.greatest(a["top"], F.log2(F.lit(float(window))) - s / window)).otherwise(a["top"]).alias("top"))
+def window_entropy(word: Column, alphabet: str, window: int = WINDOW, enough: float = math.inf) -> Column:
+    """The largest Shannon entropy, in bits a character, of any window of word; 0 if it is shorter than a window.
+
+    The first window that has `enough` ends the search, and its entropy is the result.
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)["top"]
+    The word is taken apart once. A step adds the character that enters and drops the one that leaves: two counts, kept
+    in the bits of a few longs, change, and the sum of n * log2(n) by their two terms alone. Time is linear in the word.
+    """
+    terms = [0, *(round(n * math.log2(n) * PARTS) for n in range(1, window + 1))]
+    rise = F.array(*[F.lit(b - a).cast("long") for a, b in itertools.pairwise(terms)])  # rise[n]: from n to n + 1
+    shift = lambda how, x, by: F.call_function(how, x, by)
+
+    def place(letter: Column) -> Column:
+        """Where a character's count is: the long, the bits below it, and 1 at it."""
+        code = F.instr(F.lit(alphabet), letter)
+        low = code % COUNTS * COUNT_BITS
+        return F.struct(F.floor(code / COUNTS).cast("int").alias("at"), low.alias("low"), shift("shiftleft", F.lit(1).cast("long"), low).alias("one"))
+
+    def step(a: Column, x: Column) -> Column:
+        into, out = x["into"], x["out"]
+        count = lambda p: shift("shiftright", F.get(a["n"], p["at"]), p["low"]).bitwiseAND(2**COUNT_BITS - 1).cast("int")
+        leaves = out["at"].isNotNull()
+        same = leaves & (into["at"] == out["at"]) & (into["low"] == out["low"])
+        counts = F.transform(a["n"], lambda n, k: n + F.when(into["at"] == k, into["one"]).otherwise(F.lit(0)) - F.when(out["at"] == k, out["one"]).otherwise(F.lit(0)))
+        s = F.when(same, a["s"]).otherwise(a["s"] + F.get(rise, count(into)) - F.when(leaves, F.get(rise, count(out) - 1)).otherwise(F.lit(0)))
+        after = F.struct(counts.alias("n"), s.cast("long").alias("s"), (a["i"] + 1).alias("i"), F.when(a["i"] + 1 >= window, F.least(a["least"], s)).otherwise(a["least"]).cast("long").alias("least"))
+        return F.when(a["least"] <= stop, a).otherwise(after)
+
+    # entropy is log2(window) less the sum's share
+    stop = math.floor((math.log2(window) - enough) * window * PARTS) if enough < math.inf else -1
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), len(alphabet) // COUNTS + 1).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).alias("i"), F.lit(None).cast("long").alias("least"))
+
+    def steps(places: Column) -> Column:
+        gone = F.slice(F.concat(F.array_repeat(F.lit(None), window), places), F.lit(1), F.size(places))
+        return F.zip_with(places, gone, lambda i, o: F.struct(i.alias("into"), o.alias("out")))
+
+    places = F.transform(F.split(word, ""), place)
+    least = F.aggregate(let(places, steps), start, step)["least"]
+    return F.coalesce(math.log2(window) - least / F.lit(float(PARTS)) / window, F.lit(0.0))
 
 
 def _at_least(least: int, m: Column) -> Column:
@@ -75,7 +103,7 @@ def _at_least(least: int, m: Column) -> Column:
 
 
 def _high(alphabet: str, bits: float, m: Column) -> Column:
-    return window_entropy(m["hit"], alphabet) >= bits
+    return window_entropy(m["hit"], alphabet, enough=bits) >= bits
 
 
 def secret_spans(text: Column) -> Column:

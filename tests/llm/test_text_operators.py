@@ -1,6 +1,7 @@
 """Chat formatting, URL filters, secret scans, mixing, codec: against brute force, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import random
 import re
 
 import pyarrow as pa
@@ -238,3 +239,28 @@ def test_codec_without_spaces():
     began = time.time()
     ids, offsets = sentencepiece_codec.Encoder(p).encode(pa.array([text]))
     assert time.time() - began < 30 and sentencepiece_codec.decode_ids(p, ids, offsets).to_pylist() == [text]
+
+
+@pytest.mark.parametrize(("chars", "alphabet"), [("0123456789abcdef", "0123456789abcdefABCDEF"), ("ab0", "0123456789abcdefABCDEF"), ("AbCdEfGhIjKlMnOp+/=_-0123456789", secret_scans.CLASSES["entropy_base64"][1])])
+def test_entropy_of_long_candidates(spark, chars, alphabet):
+    """Windows of a long run, against counting every window anew; with an early end the result is on the same side of the limit."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(len(chars))
+    word = "".join(rng.choice(chars) for _ in range(5000))
+    sums = [-sum(c / 20 * math.log2(c / 20) for c in Counter(word[i : i + 20]).values()) for i in range(len(word) - 19)]
+    for enough in (3.0, max(sums) - 1e-9, max(sums) + 1e-9):
+        row = spark.createDataFrame([(word,)], "w string").select(secret_scans.window_entropy(F.col("w"), alphabet).alias("top"), secret_scans.window_entropy(F.col("w"), alphabet, enough=enough).alias("some")).first()
+        assert row.top == pytest.approx(max(sums), abs=1e-9)
+        assert (row.some >= enough) == (max(sums) >= enough)
+
+
+def test_a_megabyte_without_a_break(spark):
+    """Unbroken hex and base64 runs of a megabyte: one span each, and redacted whole."""
+    rng = random.Random(8)
+    texts = ["key " + "".join(rng.choice("0123456789abcdef") for _ in range(1_000_000)) + " end", "key " + "Qz7+/Rw" * 140_000 + " end", "key " + "ab01" * 250_000 + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scans.find_secrets(df).collect()}
+    assert got == {0: [(k, 4, 1_000_004) for k in ("hex", "entropy_hex", "entropy_base64")], 1: [], 2: [("hex", 4, 1_000_004)]}
+    assert {r.doc_id: r.text for r in secret_scans.redact(df.where("doc_id = 0")).collect()} == {0: "key [SECRET] end"}
