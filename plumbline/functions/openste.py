@@ -1,9 +1,10 @@
-"""The OpenSTE wordset (openste v1.01) and the built-in technical terms, whole.
+"""The OpenSTE wordset (openste v1.01), and the technical terms that the vocabulary rule allows, whole. Fixed values.
 
-MIT License, (c) 2026 openSTE.org; see LICENSE-DATA.md. An approximation of ASD-STE100, not certified.
+The wordset: MIT License, (c) 2026 openSTE.org; see LICENSE-DATA.md. An approximation of ASD-STE100, not certified. The
+technical terms are no part of it.
 """
 
-#: Unapproved words and phrases, and what to use instead.
+#: Unapproved words and phrases, and what to use instead.
 SUBSTITUTIONS = {
     "abandon": ["stop"], "able": ["can", "possible"], "abnormal": ["unusual", "incorrect"],
     "abnormality": ["defect"], "abrupt": ["sudden", "suddenly"], "absence": ["none", "not", "no"],
@@ -326,7 +327,7 @@ SUBSTITUTIONS = {
     "withstand": ["resistant"], "wrong": ["incorrect"], "wrongly": ["incorrectly"], "yet": ["but", "time"],
 }
 
-#: Terms of software and design that are always allowed; more are a parameter.
+#: Common terms of software and design that are allowed by default; more are a parameter.
 TECHNICAL_TERMS = [
     "commit", "branch", "merge", "rebase", "checkout", "clone", "fork", "push", "pull", "stash", "tag", "diff",
     "blame", "hash", "upstream", "origin", "remote", "repository", "repo", "changelog", "backport", "cherry-pick",

@@ -32,13 +32,16 @@ class Rule:
 
 @dataclass(frozen=True)
 class Settings:
-    """What the rules depend on. A limit of 0 or less turns the sentence limit off."""
+    """What the rules depend on. A limit of 0 or less turns the sentence limit off.
+
+    allowed: lower-cased words and phrases that pass; the built-in technical terms, unless told otherwise.
+    """
 
     procedure_max: int = 20
     description_max: int = 25
     strict: bool = False
     slop: bool = True
-    allowed: frozenset[str] = frozenset()
+    allowed: frozenset[str] = frozenset(lex.TECHNICAL_TERMS)
     substitutions: dict[str, list[str]] = field(default_factory=lambda: lex.SUBSTITUTIONS)
     bare: tuple[str, ...] = tuple(lex.BARE_WORDS)
 
@@ -106,6 +109,9 @@ def _phrase(words: Column, n: int, starts: Callable, whole: Callable, make: Call
     return at
 
 
+# The messages and hints of the rules below are part of their results.
+
+
 def sentence_length(s: Settings) -> Callable[[Column, Column, Column], Column]:
     def check(kind: Column, toks: Column, words: Column) -> Column:
         count, first, last = word_count(toks), F.element_at(toks, 1), F.element_at(toks, -1)
@@ -260,22 +266,22 @@ def rules(s: Settings | None = None) -> list[Rule]:
     """The rules in registration order: seven always, seven more if slop is on."""
     s = s or Settings()
     always = [
-        Rule("STE.SentenceLength", ERROR, "Keep sentences short: procedures to 20 words, descriptions to 25 words.", sentence_length(s)),
-        Rule("STE.Contractions", ERROR, "Do not use contractions; write the full words.", contractions),
-        Rule("STE.PassiveVoice", WARNING, "Use the active voice, not the passive voice.", passive_voice),
-        Rule("STE.IngForms", SUGGESTION, "Do not use the -ing verb form in instructions.", ing_forms),
-        Rule("STE.PhrasalVerbs", WARNING, "Do not use phrasal verbs; use one clear verb.", phrasal_verbs),
-        Rule("STE.OneInstruction", WARNING, "Write one instruction in one sentence.", one_instruction),
-        Rule("STE.Vocabulary", SUGGESTION, "Use only approved Simplified Technical English words.", vocabulary(s)),
+        Rule("STE.SentenceLength", ERROR, "A sentence has more words than its kind of text allows.", sentence_length(s)),
+        Rule("STE.Contractions", ERROR, "Two words are drawn together with an apostrophe.", contractions),
+        Rule("STE.PassiveVoice", WARNING, "A form of be and a participle leave open who acts.", passive_voice),
+        Rule("STE.IngForms", SUGGESTION, "A word ends in -ing.", ing_forms),
+        Rule("STE.PhrasalVerbs", WARNING, "A verb and a particle stand where one verb would do.", phrasal_verbs),
+        Rule("STE.OneInstruction", WARNING, "A step holds more than one instruction.", one_instruction),
+        Rule("STE.Vocabulary", SUGGESTION, "A word or phrase is outside the controlled vocabulary.", vocabulary(s)),
     ]
     slop = [
-        Rule("STE.SlopVocabulary", WARNING, "Avoid low-baseline words common to LLM output; prefer a plain, concrete term.", slop_vocabulary(s)),
-        Rule("STE.SlopRestatement", SUGGESTION, "Avoid restatement markers that reintroduce a point already made.", slop_restatement),
-        Rule("STE.SlopImpersonalHedge", WARNING, "Avoid impersonal-it modal padding; state the fact directly.", slop_impersonal_hedge),
-        Rule("STE.SlopNegativeParallelism", WARNING, 'Avoid the "not only X but also Y" construction; state it directly.', slop_negative_parallelism),
-        Rule("STE.SlopEvaluative", SUGGESTION, "Avoid clustering positive-evaluative adjectives; the density reads as promotional.", density(among(lex.EVALUATIVE), 2, "evaluative adjectives", "Replace praise words with concrete, factual detail.")),
-        Rule("STE.SlopHedgeDensity", SUGGESTION, "Avoid stacking hedges in one sentence; commit to a clear statement.", density(among(lex.HEDGES), 3, "hedges", "State the condition once, or commit to a direct statement.")),
-        Rule("STE.SlopNominalization", SUGGESTION, "Avoid stacking nominalizations; use the direct verb (configure, not perform the configuration).", density(nominalization, 3, "nominalizations", "Rewrite with direct verbs.")),
+        Rule("STE.SlopVocabulary", WARNING, "A word is rare in people's prose and frequent in that of models.", slop_vocabulary(s)),
+        Rule("STE.SlopRestatement", SUGGESTION, "A phrase announces that a point is made again.", slop_restatement),
+        Rule("STE.SlopImpersonalHedge", WARNING, "A sentence opens with an impersonal it and a modal.", slop_impersonal_hedge),
+        Rule("STE.SlopNegativeParallelism", WARNING, "Two halves are set against each other as in not only, but also.", slop_negative_parallelism),
+        Rule("STE.SlopEvaluative", SUGGESTION, "Words of praise pile up in a sentence.", density(among(lex.EVALUATIVE), 2, "evaluative adjectives", "Replace praise words with concrete, factual detail.")),
+        Rule("STE.SlopHedgeDensity", SUGGESTION, "Hedges pile up in a sentence.", density(among(lex.HEDGES), 3, "hedges", "State the condition once, or commit to a direct statement.")),
+        Rule("STE.SlopNominalization", SUGGESTION, "Nouns made of verbs pile up in a sentence.", density(nominalization, 3, "nominalizations", "Rewrite with direct verbs.")),
     ]
     return always + (slop if s.slop else [])
 

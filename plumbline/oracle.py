@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from plumbline.functions import lexicons as lex
 from plumbline.queries import (
-    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, MODELS, PATHS, PROMPT_LINES, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
+    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, HEAVY_DOCUMENTS, MODELS, PATHS, PROMPT_LINES, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
 )
 from plumbline.operators.evaluation import FIX_TASK, FIX_TEXT, NOTHING_FOUND
+from plumbline.operators.repetition import ABOVE, KEYNESS, LEAST_LETTERS, LEAST_WORDS, TOO_MUCH, WINDOW
 from plumbline.operators.report import SOURCE
 from plumbline.operators.rules import Settings, rules
 from plumbline.sources.markdown import FRONT_PATTERN
@@ -112,8 +113,9 @@ def hint_of(alternatives: list[str]) -> str:
     return 'Use "' + '" or "'.join(alternatives) + '".'
 
 
-MULTI = {k: v for k, v in lex.SUBSTITUTIONS.items() if " " in k}
-SINGLE = {k: v for k, v in lex.SUBSTITUTIONS.items() if " " not in k}
+ALLOWED = Settings().allowed
+#: Phrase lengths of the word list.
+LENGTHS = sorted({k.count(" ") + 1 for k in lex.SUBSTITUTIONS} - {1})
 PARTICIPLE = lambda c: f"({c} in {listed(lex.IRREGULAR_PARTICIPLES)} or ({c} like '%ed' and length({c}) >= 4 and {c} not in {listed(lex.NOT_PARTICIPLES)}))"
 
 
@@ -148,8 +150,8 @@ def rule_sql() -> dict[str, list[str]]:
     ]
     says = "'The word \"' || {p} || '\" is not approved Simplified Technical English.'"
     r["STE.Vocabulary"] = [
-        *spans("STE.Vocabulary", list(MULTI), says, "(select val from hints where key = {p})"),
-        row("STE.Vocabulary", says.format(p="text"), "val", 0, "text", "covered join hints on lower = key and key not like '% %'", "not over"),
+        *[row("STE.Vocabulary", says.format(p=f"g{n}"), "val", n - 1, f"g{n}", f"grams join hints on g{n} = key", f"n = {n}") for n in LENGTHS],
+        row("STE.Vocabulary", says.format(p="text"), "val", 0, "text", "covered join hints on lower = key", "n = 1 and not over"),
     ]
     r["STE.SlopVocabulary"] = [row("STE.SlopVocabulary", "'The word \"' || text || '\" is common to LLM output (' || val || ').'", q("Prefer a plain, concrete term."), 0, "text", f"words join {values(list(lex.SLOP_WORDS.items()), 'key, val')} on lower = key", "true")]
     r["STE.SlopRestatement"] = spans("STE.SlopRestatement", lex.RESTATEMENTS, "'Restatement marker \"' || {p} || '\" repeats an existing point.'", q("Delete the restatement or merge it with the original."))
@@ -177,10 +179,13 @@ def rule_sql() -> dict[str, list[str]]:
 
 LOOKUPS = [
     table("phrasal", lex.PHRASAL_VERBS),
-    table("hints", {k: hint_of(v) for k, v in lex.SUBSTITUTIONS.items()}),
-    f"""covered as (
-    select *, coalesce(g2 in {listed(list(MULTI))} or lag(g2) over s in {listed(list(MULTI))}, false) as over
-    from grams window s as (partition by path, block_id, sent_id order by word_idx))""",
+    f"""hints as (select *, len(string_split(key, ' ')) as n from {values([(k, hint_of(v)) for k, v in lex.SUBSTITUTIONS.items() if k not in ALLOWED], 'key, val')})""",
+    # a place is covered by a phrase that starts at it or up to its length less one before it; allowed phrases cover as well
+    f"""phrase as (select * from {values([(k, k.count(" ") + 1) for k in lex.SUBSTITUTIONS if " " in k], 'key, n')}),
+places as (
+    {" union all ".join(f"select path, block_id, sent_id, unnest(range(word_idx, word_idx + {n})) as word_idx from grams join phrase on g{n} = key and n = {n}" for n in LENGTHS)}),
+covered as (
+    select w.*, p.word_idx is not null as over from words w left join (select distinct * from places) p using (path, block_id, sent_id, word_idx))""",
 ]
 RULES = rule_sql()
 UNION = "\nunion all ".join(s for part in RULES.values() for s in part)
@@ -250,14 +255,55 @@ TITLE = "^[a-z]+(?:[-'' ][a-z]+)*$"
 SUBS = f"""select title as word, string_agg(alt_title, '|' order by pos) as alternatives from (
     select title, alt_title, min(pos) as pos from {alternatives()}
     where regexp_matches(title, '{TITLE}') and alt_title <> '' and lower(alt_title) <> lower(title) group by title, alt_title) group by title"""
-STRICT = row("STE.Vocabulary", "'The word \"' || text || '\" is not in the approved vocabulary.'", q("Use an approved word with the same meaning."), 0, "text", "covered", f"not over and lower in {listed(lex.BARE_WORDS)}")
+STRICT = row("STE.Vocabulary", "'The word \"' || text || '\" is not in the approved vocabulary.'", q("Use an approved word with the same meaning."), 0, "text", "covered", f"not over and lower in {listed(sorted(set(lex.BARE_WORDS) - set(lex.SUBSTITUTIONS) - ALLOWED))}")
 
 
 def terms(words: list[str]) -> str:
     return f"(select distinct lower(trim(term)) as term from {values([(w,) for w in words], 'term')} where trim(term) <> '')"
 
 
+TERMS = listed(lex.TECHNICAL_TERMS)
+PHRASES = "said as (" + " union all ".join(
+    f"select path, block_id, sent_id, word_idx, {n} as n, g{n} as phrase from grams where g{n} is not null and g{n} not in {TERMS} and not (lower in {TERMS} and {' and '.join(f'l{k} in {TERMS}' for k in range(1, n))})"
+    for n in (3, 4)
+) + ")"
+WINDOWS = f"""sequenced as (
+    select path, n, phrase, row_number() over (partition by path, n order by block_id, sent_id, word_idx) - 1 as j, count(*) over (partition by path, n) as total from said),
+near as (
+    select *, greatest(total - {WINDOW}, 0) as top from (select *, lag(j) over (partition by path, n, phrase order by j) as p from sequenced) where j - p < {WINDOW}),
+opened as (
+    select path, n, top, total, unnest(range(greatest(j - {WINDOW} + 1, 0), least(p, top) + 1)) as i from near),
+repeats as (select path, n, top, total, i, count(*) as repeats from opened group by path, n, top, total, i)"""
+#: Distinct content words of sentences, and their classes, in a scope: path or all.
+CLASSES = lambda scope: f"""chosen as (
+    select path, block_id, sent_id, list_sort(list(distinct lower)) as ws from words where length(lower) >= {LEAST_LETTERS} group by path, block_id, sent_id having count(distinct lower) >= {LEAST_WORDS}),
+scoped as (select *, {scope} as scope, {{'path': path, 'block_id': block_id, 'sent_id': sent_id}} as place from chosen),
+classes as (select scope, ws, min(place) as id, count(*) as size, len(ws) as n from scoped group by scope, ws),
+spelled as (select scope, id, ws, n, unnest(ws) as word from classes),
+ranked as (
+    select s.*, row_number() over (partition by scope, id order by often, word) as rank from spelled s join (select word, count(*) as often from spelled group by word) using (word)),
+heads as (select * from ranked where rank <= n - n * {ABOVE[0]} // {ABOVE[1]}),
+near as (select distinct a.id as a, b.id as b, a.ws as aw, b.ws as bw from heads a join heads b on a.scope = b.scope and a.word = b.word and a.id < b.id),
+pairs as (
+    select * from (select a, b, len(list_intersect(aw, bw)) as shared, len(aw) + len(bw) - len(list_intersect(aw, bw)) as together from near)
+    where {ABOVE[1]} * shared > {ABOVE[0]} * together)"""
+PAIRS = "select a.path as a_path, a.block_id as a_block_id, a.sent_id as a_sent_id, b.path as b_path, b.block_id as b_block_id, b.sent_id as b_sent_id, cast(shared as integer) as shared, cast(together as integer) as together from pairs"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "rep_n_documents": with_(PHRASES) + " select path, cast(n as integer) as n, count(*) as total, count(distinct phrase) as distinct_phrases, 1 - count(distinct phrase) / count(*) as rep_n, count(distinct phrase) / count(*) as distinct_n from said group by path, n",
+    "rep_n_windows": with_(PHRASES, WINDOWS) + f" select path, cast(n as integer) as n, any_value(top) + 1 as windows, arg_max(i, repeats * 1000000000 - i) as worst_start, max(repeats) as worst_repeats, count(*) filter (where repeats > {TOO_MUCH} * least({WINDOW}, total)) as flagged from repeats group by path, n",
+    "rep_heavy_phrases": with_(PHRASES) + f" select phrase, cast(n as integer) as n, count(distinct path) as documents, count(*) as times from said group by phrase, n having count(distinct path) >= {HEAVY_DOCUMENTS}",
+    "restatement_within": with_(CLASSES("path")) + " " + PAIRS,
+    "restatement_across": with_(CLASSES("''")) + " " + PAIRS,
+    "restatement_members": with_(CLASSES("''")) + """ select s.path, s.block_id, s.sent_id, c.id.path as class_path, c.id.block_id as class_block_id, c.id.sent_id as class_sent_id
+        from scoped s join classes c using (scope, ws) where c.size > 1 or c.id in (select a from pairs) or c.id in (select b from pairs)""",
+    "word_overuse": with_(f"""own as (select path, lower as word, count(*) as times from words group by path, lower),
+        sizes as (select path, sum(times) as words from own group by path),
+        rates as (
+            select path, word, times, words, sum(times) over (partition by word) - times as others, times::double as k1, words::double as n1, (sum(times) over (partition by word) - times)::double as k2, (sum(times) over () - words)::double as n2 from own join sizes using (path)),
+        scored as (
+            select *, 2 * (k1 * ln(k1 / (n1 * ((k1 + k2) / (n1 + n2)))) + case when k2 > 0 then k2 * ln(k2 / (n2 * ((k1 + k2) / (n1 + n2)))) else 0 end) as g from rates)""") + f" select path, word, times, cast(words as bigint) as words, cast(others as bigint) as others, round(g, 3) as score from scored where k1 * n2 > k2 * n1 and g >= {KEYNESS}",
     "lines": with_() + " select path, line, src, masked, kind, blank from lined",
     "blocks": with_() + " select path, block_id, any_value(kind) as block_kind, min(line) as start, cast(count(*) as integer) as n_lines, md5(string_agg(masked, chr(10) order by line)) as body_md5 from blocked group by path, block_id",
     "tokens": with_() + " select * from toks",
@@ -265,6 +311,7 @@ ORACLE_SQL: dict[str, str] = {
     "sentences": with_() + " select path, block_id, sent_id, block_kind, word_count, line, col, end_line, end_col from sents",
     "sentence_word_count": with_() + " select path, count(*) as n_sentences, cast(sum(word_count) as bigint) as n_words, max(word_count) as longest from sents group by path",
     **{key: with_(*LOOKUPS) + "\n" + "\nunion all ".join(RULES[rule]) for rule, key in RULE_KEYS.items()},
+    "rule_vocabulary_all_terms": (with_(*LOOKUPS) + "\n" + "\nunion all ".join(RULES["STE.Vocabulary"])).replace(LOOKUPS[1], f"""hints as (select *, len(string_split(key, ' ')) as n from {values([(k, hint_of(v)) for k, v in lex.SUBSTITUTIONS.items()], 'key, val')})"""),
     "rule_vocabulary_strict": with_(*LOOKUPS) + "\n" + "\nunion all ".join([*RULES["STE.Vocabulary"], STRICT]),
     "lint_all": over(f"select {COLUMNS} from kept"),
     "lint_min_severity": over(f"select {COLUMNS} from kept where severity in ('error', 'warning')"),

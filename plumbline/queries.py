@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lex
-from plumbline.operators import evaluation, parse, report, suppress
+from plumbline.operators import evaluation, parse, repetition, report, suppress
 from plumbline.operators.rules import Settings, rules
 from plumbline.plans import engine
 from plumbline.sources import files, markdown, wordset
@@ -33,6 +33,8 @@ FIXTURES = [
     ("fix:16", "<!-- lint disable-next-line -->\nTesting it's.\n<!-- lint STE.IngForms = NO -->\nTesting don't.\n<!-- lint STE.IngForms = YES -->\nTesting <!-- lint off --> <!-- lint on -->", False),
     ("fix:17", "😀 Testing café.\r\n\r\nIt's 😀 done. \n　\nTop up to it.", False),
     ("fix:18", "", False),
+    ("fix:19", "By means of a pump we build the file and the rest. It can give rise to a branch. The process of thread render is means.", False),
+    ("fix:20", "Open the inlet valve before starting pump seven. " * 3 + "Always open the inlet valve before starting pump seven. Close everything. Merge commit hash branch, merge commit hash branch.", False),
 ]
 ALL = Settings(strict=True)
 #: Rule -> query key.
@@ -58,6 +60,8 @@ ALLOW, DENY = [" Valve ", "able", "API", ""], ["api", "Deploy"]
 FAMILIES = [("src0", "alpha"), ("src1", "beta"), ("src2", "")]
 PROMPT_LINES = ["# describe", "Describe a pump.", "", "  Explain a valve.\t", "\u3000", " # not this", "Why # here?", "Describe a pump."]
 MODELS, PROMPTS = ["m1", "m2", "m3"], ["Describe a pump.", "Explain a valve."]
+#: Documents that have a phrase before it counts as common.
+HEAVY_DOCUMENTS = 20
 SEVERITIES = {"STE.IngForms": "error", "STE.PassiveVoice": "suggestion", "STE.Contractions": "loud"}
 DISABLED = ["STE.IngForms", "STE.SlopNominalization"]
 #: Replies that never came: (seq, model, family, output, err).
@@ -170,6 +174,19 @@ def fix_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.fix_prompts(texts(spark, sf_dir), report.concise_by_path(findings(spark, sf_dir)))
 
 
+def both_lengths(f: Callable[[DataFrame, int], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f for phrases of three and of four words."""
+    return parsed(lambda d: f(d, 3).unionByName(f(d, 4)))
+
+
+def _members(members: DataFrame) -> DataFrame:
+    return members.select("path", "block_id", "sent_id", *[F.col(f"class.{c}").alias(f"class_{c}") for c in ("path", "block_id", "sent_id")])
+
+
+def pair_rows(pairs: DataFrame) -> DataFrame:
+    return pairs.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("path", "block_id", "sent_id")], "shared", "together")
+
+
 def _eval(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(evaluation.samples(replies(spark, sf_dir), markdown=False))
 
@@ -182,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentences": parsed(parse.sentence_spans),
     "sentence_word_count": parsed(lambda d: parse.sentence_spans(d).groupBy("path").agg(F.count("*").alias("n_sentences"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))),
     **{key: rule_query(rule, Settings()) for rule, key in RULE_KEYS.items()},
+    "rule_vocabulary_all_terms": rule_query("STE.Vocabulary", Settings(allowed=frozenset())),
     "rule_vocabulary_strict": rule_query("STE.Vocabulary", ALL),
     "lint_all": lint_all,
     "lint_min_severity": lambda s, d: engine.at_least(findings(s, d), "Warning "),
@@ -214,6 +232,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_by_family": _eval(lambda r: evaluation.by_family(evaluation.by_model(r))),
     "eval_report": _eval(lambda r: evaluation.text_report(evaluation.by_model(r)).select("section", "report")),
     "eval_prompts": lambda s, d: evaluation.prompts(one_column(s, PROMPT_LINES, "value")),
+    "rep_n_documents": both_lengths(repetition.rep_n),
+    "rep_n_windows": both_lengths(repetition.rep_n_windows),
+    "rep_heavy_phrases": both_lengths(lambda d, n: repetition.heavy_phrases(d, n, HEAVY_DOCUMENTS)),
+    "restatement_within": parsed(lambda d: pair_rows(repetition.restatements(d)[1])),
+    "restatement_across": parsed(lambda d: pair_rows(repetition.restatements(d, across=True)[1])),
+    "restatement_members": parsed(lambda d: _members(repetition.restatements(d, across=True)[0])),
+    "word_overuse": parsed(repetition.overused_words),
     "md_mask": md_mask,
     "md_frontmatter": md_frontmatter,
     "fix_prompt": fix_prompt,

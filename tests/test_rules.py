@@ -34,6 +34,9 @@ CASES = [
     ("Vocabulary", "Open the bolt here.", False, {}, 0),
     ("Vocabulary", "Hook up to the pump.", False, {}, 2),
     ("Vocabulary", "Open the able tool according to it.", False, dict(allowed=frozenset({"able", "according to"})), 0),
+    ("Vocabulary", "Build the file and verify the rest of the branch.", False, {}, 0),
+    ("Vocabulary", "Build the file and verify the rest of the branch.", False, dict(allowed=frozenset()), 5),
+    ("Vocabulary", "By means of a pump.", False, {}, 1),
     ("SlopVocabulary", "We delve into the intricate realm of valves.", False, {}, 3),
     ("SlopRestatement", "The valve opens. In other words, flow starts.", False, {}, 1),
     ("SlopNegativeParallelism", "It is not only fast but also cheap.", False, {}, 1),
@@ -86,6 +89,26 @@ def test_long_block_positions(spark):
     assert row.text == words[-1] and row.end_col == len(" ".join(words)) + 1
 
 
+def test_a_long_text_is_its_parts(spark):
+    """Texts joined by blank lines, or by line ends inside one block, have the tokens of the parts, moved down; blocks and sentences count on."""
+    parts = [f"The door {i} was opened. It is 3.5 m wide! Why?\nSee e.g. v1.{i} here... and so on" for i in range(400)]
+    rows = lambda texts: {(r.path, r.block_id, r.sent_id, r.tok_idx): (r.text, r.kind, r.line, r.col) for r in parse.tokens(spark.createDataFrame(texts, "path string, text string")).collect()}
+    alone = rows([(str(i), p) for i, p in enumerate(parts)])
+    assert rows([("d", "\n\n".join(parts))]) == {("d", int(p), s, t): (text, kind, line + 3 * int(p), col) for (p, _, s, t), (text, kind, line, col) in alone.items()}
+    # the last sentence of a part goes on in the next one's first, so whole parts are compared that end with a mark
+    ended = [p + "." for p in parts]
+    alone = rows([(str(i), p) for i, p in enumerate(ended)])
+    counts = {p: 1 + max(s for q, _, s, _ in alone if q == str(p)) for p in (0, 1)}
+    assert set(counts.values()) == {6}
+    want = {("d", 0, 6 * int(p) + s, t): (text, kind, line + 2 * int(p), col) for (p, _, s, t), (text, kind, line, col) in alone.items()}
+    assert rows([("d", "\n".join(ended))]) == want
+
+
+def test_sentences_dealt_anew(spark):
+    docs = spark.createDataFrame([("d", "It was opened. Testing isn't done.\n\n" * 50)], "path string, text string")
+    assert sorted(map(tuple, engine.lint(docs, deal=3).collect())) == sorted(map(tuple, engine.lint(docs).collect()))
+
+
 def test_suppression(spark):
     text = "a\n<!-- lint off -->\nb\n<!-- lint on -->\n<!-- lint STE.X = no -->\nc <!-- LINT disable-line A B -->\n<!-- lint STE.X = YES -->\n<!-- lint disable-next-line -->\nd <!-- lint off --> <!-- lint on -->"
     docs = spark.createDataFrame([("p", text)], "path string, text string")
