@@ -54,18 +54,19 @@ def short_error(text: Column) -> Column:
 
 
 def samples(replies: DataFrame, settings: Settings | None = None, markdown: bool = True) -> DataFrame:
-    """replies(seq, model, family, output, err) plus words and by_rule, the reply's findings by rule.
+    """replies(seq, model, family, output, err) without output, plus words and by_rule, the reply's findings by rule.
 
     Replies are linted as Markdown, unless markdown says otherwise; a column of that name decides for each reply. A
-    failed reply has no words and no findings. seq names a reply.
+    failed reply has no words and no findings. seq names a reply. Words are counted before the counts of findings come
+    back, so no reply's text is shuffled.
     """
     good = replies.where("err is null")
     docs = good.select(F.col("seq").alias("path"), F.col("output").alias("text"), *(["markdown"] if "markdown" in replies.columns else [F.lit(True).alias("markdown")] if markdown else []))
     per = lint(docs, settings or Settings(slop=True)).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
     maps = per.groupBy(F.col("path").alias("seq")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "n")))).alias("by_rule"))
-    out = replies.join(maps, "seq", "left")
     words = F.when(F.col("err").isNull(), field_count(F.col("output"))).otherwise(0)
-    return out.withColumn("words", words.cast("long")).withColumn("by_rule", F.coalesce("by_rule", F.create_map().cast("map<string,bigint>")))
+    out = replies.withColumn("words", words.cast("long")).drop("output").join(maps, "seq", "left")
+    return out.withColumn("by_rule", F.coalesce("by_rule", F.create_map().cast("map<string,bigint>")))
 
 
 def total(by_rule: Column, prefix: str = "") -> Column:

@@ -12,6 +12,8 @@ from plumbline.operators.rules import Rule
 COLORS = {"error": 31, "warning": 33, "suggestion": 36}
 EDITOR_SEVERITY = {"error": 1, "warning": 2}
 SOURCE = "prose"
+#: Characters that take two UTF-16 units.
+WIDE = r"[\x{10000}-\x{10FFFF}]"
 
 
 def place() -> Column:
@@ -113,14 +115,23 @@ def utf16_column(line: Column, col: Column) -> Column:
 
 
 def diagnostics(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """(path, start_line, start_char, end_line, end_char, severity, code, source, message), positions from 0 in UTF-16 units."""
-    rows = findings.join(docs.select("path", source_lines(F.col("text")).alias("src")), "path")
+    """(path, start_line, start_char, end_line, end_char, severity, code, source, message), positions from 0 in UTF-16 units.
+
+    Columns differ from code points only behind characters outside the basic plane, so findings meet the lines that have
+    such characters, by path and line, and no other text.
+    """
+    lines = docs.select("path", F.posexplode(source_lines(F.col("text"))).alias("i", "src")).where(F.rlike("src", F.lit(WIDE)))
+    lines = lines.select(F.col("path").alias("_path"), (F.col("i") + 1).alias("_line"), "src")
+    rows = findings
+    for n in ("line", "end_line"):
+        mine = lines.select(*[F.col(c).alias(f"{c}_{n}") for c in lines.columns])
+        rows = rows.join(mine, (F.col("path") == F.col(f"_path_{n}")) & (F.col(n) == F.col(f"_line_{n}")), "left")
     message = F.when(F.col("hint") != "", F.concat_ws(" — ", "message", "hint")).otherwise(F.col("message"))
-    at = lambda n: F.coalesce(F.get("src", F.col(n) - 1), F.lit(""))
+    at = lambda n, col: F.when(F.col(f"src_{n}").isNull(), F.greatest(F.col(col) - 1, F.lit(0))).otherwise(utf16_column(F.col(f"src_{n}"), F.col(col)))
     severity = F.when(F.col("severity") == "error", 1).when(F.col("severity") == "warning", 2).otherwise(3)
     return rows.select(
-        "path", F.greatest(F.col("line") - 1, F.lit(0)).alias("start_line"), utf16_column(at("line"), F.col("col")).alias("start_char"),
-        F.greatest(F.col("end_line") - 1, F.lit(0)).alias("end_line"), utf16_column(at("end_line"), F.col("end_col")).alias("end_char"),
+        "path", F.greatest(F.col("line") - 1, F.lit(0)).alias("start_line"), at("line", "col").alias("start_char"),
+        F.greatest(F.col("end_line") - 1, F.lit(0)).alias("end_line"), at("end_line", "end_col").alias("end_char"),
         severity.alias("severity"), F.col("rule_id").alias("code"), F.lit(SOURCE).alias("source"), message.alias("message"),
     )
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -265,6 +266,14 @@ def nominalization(w: Column) -> Column:
 def rules(s: Settings | None = None) -> list[Rule]:
     """The rules in registration order: seven always, seven more if slop is on."""
     s = s or Settings()
+    key = (s.procedure_max, s.description_max, s.strict, s.slop, s.allowed, s.bare, tuple((w, tuple(a)) for w, a in s.substitutions.items()))
+    return list(_rules(key))
+
+
+@lru_cache(maxsize=64)
+def _rules(key: tuple) -> tuple[Rule, ...]:
+    """The rules of equal settings are the same ones, so what is made of them can be kept."""
+    s = Settings(*key[:5], {w: list(a) for w, a in key[6]}, key[5])
     always = [
         Rule("STE.SentenceLength", ERROR, "A sentence has more words than its kind of text allows.", sentence_length(s)),
         Rule("STE.Contractions", ERROR, "Two words are drawn together with an apostrophe.", contractions),
@@ -283,5 +292,5 @@ def rules(s: Settings | None = None) -> list[Rule]:
         Rule("STE.SlopHedgeDensity", SUGGESTION, "Hedges pile up in a sentence.", density(among(lex.HEDGES), 3, "hedges", "State the condition once, or commit to a direct statement.")),
         Rule("STE.SlopNominalization", SUGGESTION, "Nouns made of verbs pile up in a sentence.", density(nominalization, 3, "nominalizations", "Rewrite with direct verbs.")),
     ]
-    return always + (slop if s.slop else [])
+    return tuple(always + (slop if s.slop else []))
 

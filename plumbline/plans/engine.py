@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +42,14 @@ def run_rules(docs: DataFrame, some: Iterable[Rule], deal: int = 0) -> DataFrame
     rows = parse.sentences(docs, deal)
     if not some:
         return rows.limit(0).select(*[F.lit(0).alias(c) if c in ("line", "col", "end_line", "end_col") else F.col("path") if c == "path" else F.lit("").alias(c) for c in COLUMNS])
+    return rows.select("path", F.inline(_findings(tuple(some), docs.sparkSession.sparkContext.applicationId))).select(*COLUMNS)
+
+
+@lru_cache(maxsize=64)
+def _findings(some: tuple[Rule, ...], application: str) -> Column:
+    """The findings of a sentence row. Thousands of small expressions make it up, so it is put together once an application."""
     checked = lambda toks, words: F.concat(*[F.transform(r.check(F.col("block_kind"), toks, words), _named(r)) for r in some])
-    found = let(F.col("toks"), lambda toks: let(parse.words_of(toks), lambda words: checked(toks, words)))
-    return rows.select("path", F.inline(found)).select(*COLUMNS)
+    return let(F.col("toks"), lambda toks: let(parse.words_of(toks), lambda words: checked(toks, words)))
 
 
 def _named(r: Rule) -> object:

@@ -1,5 +1,7 @@
 """Cases of the rules, the parser and suppression: input to exact findings."""
 
+import random
+
 import pytest
 
 from plumbline.operators import parse, report, suppress
@@ -116,11 +118,54 @@ def test_suppression(spark):
     assert got == {(2, "*"), (3, "*"), (5, "STE.X"), (6, "STE.X"), (6, "A"), (6, "B"), (9, "*")}
 
 
+def brute_suppressed(text):
+    """{(line, rule)} by reading the lines one by one."""
+    import re
+
+    state, out = {}, set()
+    for i, line in enumerate(text.split("\n"), 1):
+        for body in re.findall(r"(?i)<!--\s*lint\s+(.*?)\s*-->", line):
+            verb, *args = body.split()
+            if verb.lower() in ("on", "off"):
+                state["*"] = verb.lower() == "off"
+            elif verb.lower() in ("disable-line", "disable-next-line"):
+                out |= {(i + (verb.lower() == "disable-next-line"), a) for a in args or ["*"]}
+            elif len(args) == 2 and args[0] == "=" and args[1].upper() in ("YES", "NO"):
+                state[verb] = args[1].upper() == "NO"
+        out |= {(i, r) for r, off in state.items() if off}
+    return out
+
+
+def test_suppression_by_spans(spark):
+    """Random directives: the spans over a finding are those that a reader of the lines sees; overlapping ones too."""
+    rng = random.Random(4)
+    ids = ["STE.IngForms", "STE.Contractions", "X"]
+    make = lambda: rng.choice(["off", "on", "disable-line", "disable-next-line", "disable-line X", "disable-next-line STE.IngForms X", *[f"{r} = {v}" for r in ids for v in ("NO", "yes", "no", "perhaps")]])
+    line = lambda: "Testing it isn't." + "".join(f" <!-- lint {make()} -->" for _ in range(rng.choice([0, 0, 0, 1, 2])))
+    texts = ["\n".join(line() for _ in range(rng.randrange(1, 60))) for _ in range(25)] + [None, "", "Testing it isn't."]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    want = {(str(i), *x) for i, t in enumerate(texts) for x in brute_suppressed(t or "")}
+    assert {(r.path, r.line, r.rule_id) for r in suppress.suppressed_lines(docs).collect()} == want
+    some = [r for r in rules() if r.id in ids]
+    left = {(r.path, r.line, r.rule_id) for r in engine.run_rules(docs, some).collect()}
+    got = {(r.path, r.line, r.rule_id) for r in suppress.without_suppressed(engine.run_rules(docs, some), docs).collect()}
+    assert got == {f for f in left if f not in want and (f[0], f[1], "*") not in want}
+    assert len(got) < len(left)
+
+
+def test_a_region_is_one_row(spark):
+    docs = spark.createDataFrame([("d", "<!-- lint off -->\n" + "x\n" * 200_000)], "path string, text string")
+    assert [tuple(r) for r in suppress.spans(docs).collect()] == [("d", "*", 1, None)]
+
+
 def test_utf16_and_reports(spark):
     docs = spark.createDataFrame([("p", "😀 Don't stop testing.")], "path string, text string")
     out = engine.lint(docs)
     at = {(r.start_char, r.end_char) for r in report.diagnostics(out, docs).collect()}
     assert (3, 8) in at
+    docs = spark.createDataFrame([("p", "It isn't.\n😀😀 It isn't."), ("q", "It isn't.")], "path string, text string")
+    at = {(r.path, r.start_line, r.start_char, r.end_line, r.end_char) for r in report.diagnostics(engine.lint(docs), docs).collect()}
+    assert at == {("p", 0, 3, 0, 8), ("p", 1, 8, 1, 13), ("q", 0, 3, 0, 8)}
     assert report.summary(out).first().summary_line == "2 problems (1 errors, 0 warnings, 1 suggestions)"
 
 
