@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.functions import lexicons as lex
 from plumbline.queries import (
-    ALLOW, ALTERNATIVES, DENY, DISABLED, FAILED, FAMILIES, FENCED, FIXTURES, FRONT_MATTER, HEAVY_DOCUMENTS, MODELS, PATHS, PROMPT_LINES, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
+    ALLOW, ALTERNATIVES, DENY, DISABLED, ENDINGS, FAILED, FAMILIES, FENCED, FENCES, FIXTURES, FOLDERS, FRONT_MATTER, FRONTS, HEAVY_DOCUMENTS, PATHS, PROMPT_LINES, PROMPTS, RULE_KEYS, SEVERITIES, WORDS,
 )
 from plumbline.operators.evaluation import FIX_TASK, FIX_TEXT, NOTHING_FOUND
 from plumbline.operators.repetition import ABOVE, KEYNESS, LEAST_LETTERS, LEAST_WORDS, TOO_MUCH, WINDOW
@@ -247,19 +247,38 @@ def evaluated(select: str) -> str:
     return with_(*LOOKUPS, *SUPPRESS, *FOUND, REPLY.strip()) + "\n" + select
 
 
-def alternatives() -> str:
-    return values([(i, a, b) for i, (a, b) in enumerate(ALTERNATIVES)], "pos, title, alt_title")
+#: Every word of the conversations and the one behind it.
+SAID = """(select (conv_id * 1000 + turn) * 100000 + i as pos, w[i + 1] as word, coalesce(w[i + 2], '') as next, role
+    from (select *, unnest(range(len(w))) as i from (select conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\\s+') as w from conversations)))"""
+
+
+def alternatives(more: bool) -> str:
+    fixed = values([(i - 100, a, b) for i, (a, b) in enumerate(ALTERNATIVES)], "pos, title, alt_title")
+    return f"(select * from {fixed}" + (f" union all select pos, word, next from {SAID})" if more else ")")
 
 
 TITLE = "^[a-z]+(?:[-'' ][a-z]+)*$"
-SUBS = f"""select title as word, string_agg(alt_title, '|' order by pos) as alternatives from (
-    select title, alt_title, min(pos) as pos from {alternatives()}
+SUBS = lambda more: f"""select title as word, string_agg(alt_title, '|' order by pos) as alternatives from (
+    select title, alt_title, min(pos) as pos from {alternatives(more)}
     where regexp_matches(title, '{TITLE}') and alt_title <> '' and lower(alt_title) <> lower(title) group by title, alt_title) group by title"""
 STRICT = row("STE.Vocabulary", "'The word \"' || text || '\" is not in the approved vocabulary.'", q("Use an approved word with the same meaning."), 0, "text", "covered", f"not over and lower in {listed(sorted(set(lex.BARE_WORDS) - set(lex.SUBSTITUTIONS) - ALLOWED))}")
 
 
-def terms(words: list[str]) -> str:
-    return f"(select distinct lower(trim(term)) as term from {values([(w,) for w in words], 'term')} where trim(term) <> '')"
+def terms(words: list[str], more: str = "false") -> str:
+    return f"(select distinct lower(trim(term)) as term from (select term from {values([(w,) for w in words], 'term')} union all select word from {SAID} where {more}) where trim(term) <> '')"
+
+
+def picked(options: list[str], key: str) -> str:
+    return f"[{', '.join(map(q, options))}][{key} % {len(options)} + 1]"
+
+
+FILES = f"""(select path, explicit from {values(PATHS, 'path, explicit')}
+    union all select {picked(FOLDERS, 'page_id')} || regexp_extract(url, '://([^?#]*)', 1) || {picked(ENDINGS, 'page_id')}, page_id % 11 = 0 from pages)"""
+
+
+def wrapped(around: list[tuple[str, str]], fixed: list[str]) -> str:
+    side = lambda k: picked([a[k] for a in around], "conv_id")
+    return f"(select text from {values([(t,) for t in fixed], 'text')} union all select {side(0)} || coalesce(text, '') || {side(1)} from conversations)"
 
 
 TERMS = listed(lex.TECHNICAL_TERMS)
@@ -333,17 +352,17 @@ ORACLE_SQL: dict[str, str] = {
     "lsp_diagnostics": over(f"""select k.path, k.line - 1 as start_line, {UTF16('a.src', 'k.col')} as start_char, k.end_line - 1 as end_line, {UTF16('b.src', 'k.end_col')} as end_char,
         cast(case severity when 'error' then 1 when 'warning' then 2 else 3 end as integer) as severity, rule_id as code, {q(SOURCE)} as source, message || ' — ' || hint as message
         from kept k join raw a on a.path = k.path and a.line = k.line join raw b on b.path = k.path and b.line = k.end_line"""),
-    "list_rules": f"select cast(pos as integer) as pos, rule_id, severity, description from {values([(i, r.id, r.severity, r.description) for i, r in enumerate(rules(Settings()))], 'pos, rule_id, severity, description')}",
-    "vocab_build": SUBS,
-    "vocab_unapproved": f"select distinct title as word from {values(WORDS, 'title, wordstatus')} where wordstatus = 'unapproved' and regexp_matches(title, '{TITLE}') and title not in (select word from ({SUBS}))",
-    "vocab_merge": f"select term from {terms(ALLOW + DENY)}",
-    "allowed_vocabulary": f"select term from (select term from {terms(lex.TECHNICAL_TERMS)} union select term from {terms(ALLOW)}) where term not in (select term from {terms(DENY)})",
+    "list_rules": over(f"select cast(pos as integer) as pos, t.rule_id, t.severity, t.description, count(k.rule_id) as n from {values([(i, r.id, r.severity, r.description) for i, r in enumerate(rules(Settings()))], 'pos, rule_id, severity, description')} left join kept k on k.rule_id = t.rule_id group by all"),
+    "vocab_build": SUBS(True),
+    "vocab_unapproved": f"select distinct title as word from (select * from {values(WORDS, 'title, wordstatus')} union all select word, case when length(word) % 2 = 0 then 'unapproved' else 'approved' end from {SAID}) where wordstatus = 'unapproved' and regexp_matches(title, '{TITLE}') and title not in (select word from ({SUBS(False)}))",
+    "vocab_merge": f"select term from {terms(ALLOW + DENY, 'true')}",
+    "allowed_vocabulary": f"select term from (select term from {terms(lex.TECHNICAL_TERMS)} union select term from {terms(ALLOW, "role = 'user' and length(word) <= 6")}) where term not in (select term from {terms(DENY, "role = 'assistant'")})",
     "scan_docs": "select 'doc:' || doc_id as path, length(text) as chars, md5(text) as digest from documents",
-    "scan_filter_paths": f"""select distinct path from {values(PATHS, 'path, explicit')} where explicit or (
+    "scan_filter_paths": f"""select distinct path from {FILES} where explicit or (
         regexp_matches(lower(path), '\\.(md|markdown|mdown|mkd|txt)$') and not regexp_matches(path, '(^|/)(\\.git|node_modules)/') and not regexp_matches(path, '^vendor/[^/]*(/|$)')
         and not regexp_matches(path, '(^|/)[^/]*\\.gen\\.md$') and not regexp_matches(path, '(^|/)CHANGELOG\\.md$'))""",
-    "markdown_mode": f"select path, regexp_matches(lower(path), '\\.(md|markdown|mdown|mkd)$') as markdown from {values(PATHS, 'path, explicit')}",
-    "eval_tasks": f"select model, prompt from {values([(m,) for m in MODELS], 'model')}, {values([(p,) for p in PROMPTS], 'prompt').replace(') t(', ') u(')}",
+    "markdown_mode": f"select path, regexp_matches(lower(path), '\\.(md|markdown|mdown|mkd)$') as markdown from {FILES}",
+    "eval_tasks": f"select model, prompt from (select distinct source as model from documents), {values([(p,) for p in PROMPTS], 'prompt').replace(') t(', ') u(')}",
     "eval_family_lookup": f"select model, coalesce(nullif(family, ''), 'unknown') as family from (select distinct source as model from documents) left join {values(FAMILIES, 'model, family')} using (model)",
     "eval_samples": over("""select seq, words, coalesce(findings, 0) as findings, coalesce(slop, 0) as slop from (
         select conv_id * 1000000 + turn as seq, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) as bigint) as words from conversations where role = 'assistant') r
@@ -355,8 +374,8 @@ ORACLE_SQL: dict[str, str] = {
     "eval_report": evaluated("""select cast(0 as integer) as section, printf('  %-12s slop %6.2f  all %6.2f  (%d models, %d words)', family, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end, models, words) as report
         from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)
         union all select 1, printf('  %-28s %-10s slop %6.2f  all %6.2f  (%d words)', model, family, slop_per_100, total_per_100, words) || case when errors > 0 then printf('  [%d errors: %s]', errors, first_error) else '' end from by_model"""),
-    "eval_prompts": f"select p as prompt from (select regexp_replace(value, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as p from {values([(p,) for p in PROMPT_LINES], 'value')}) where p <> '' and p not like '#%'",
-    "md_frontmatter": f"select text, cast(length(regexp_extract(text, {q(FRONT_PATTERN.replace(chr(92) + 'Z', chr(92) + 'z'))}, 0)) as integer) as front_end from {values([(t,) for t in FRONT_MATTER], 'text')}",
+    "eval_prompts": f"select p as prompt from (select regexp_replace(value, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as p from (select value from {values([(p,) for p in PROMPT_LINES], 'value')} union all select case when conv_id % 5 = 0 then ' # ' || value else chr(9) || value || ' ' end from (select conv_id, unnest(string_split(coalesce(text, ''), chr(10))) as value from conversations where role = 'user'))) where p <> '' and p not like '#%'",
+    "md_frontmatter": f"select text, cast(length(regexp_extract(text, {q(FRONT_PATTERN.replace(chr(92) + 'Z', chr(92) + 'z'))}, 0)) as integer) as front_end from {wrapped(FRONTS, FRONT_MATTER)}",
     "fix_prompt": with_(*LOOKUPS, *SUPPRESS, *FOUND, f"""by_rule as (
             select path, rule_id, min_by(severity, {{'line': line, 'col': col, 'severity': severity}}) as severity, count(*) as n, case when min(hint) = max(hint) then min(hint) else '' end as shared_hint from kept group by path, rule_id),
         listed as (
@@ -367,5 +386,5 @@ ORACLE_SQL: dict[str, str] = {
             from by_rule join listed using (path, rule_id) group by path)""") + f"""
         select path, {q(FIX_TASK)} || coalesce(issues, {q(NOTHING_FOUND)}) || {q(FIX_TEXT)} || coalesce(text, '') as prompt from docs left join issues using (path)""",
     "strip_fence": f"""select text, case when len(l) >= 2 and regexp_matches(l[1], '^\\s*```') and regexp_matches(l[-1], '^\\s*```\\s*$') then array_to_string(l[2:-2], chr(10)) else text end as stripped
-        from (select text, string_split(text, chr(10)) as l from {values([(t,) for t in FENCED], 'text')})""",
+        from (select text, string_split(text, chr(10)) as l from {wrapped(FENCES, FENCED)})""",
 }

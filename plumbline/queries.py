@@ -56,10 +56,14 @@ ALTERNATIVES = [
     ("able", "can"), ("able", "possible"), ("able", "can"), ("apple", "seed"), ("banana", "fruit"), ("set up", "install"), ("zebra", "zebra"),
     ("bad (note)", "x"), ("empty", ""),
 ]
+#: What makes paths of the pages' urls, and what stands around turns.
+FOLDERS, ENDINGS = ["", "vendor/", "docs/", "node_modules/", "x/.git/", "a b/"], [".md", ".MD", ".txt", ".rst", "", ".markdown", ".gen.md", "/CHANGELOG.md"]
+FRONTS = [("", ""), ("---\na: 1\n---\n", ""), ("---\n", ""), ("---\r\nb\r\n", "\n...\n"), ("---\n", "\n---")]
+FENCES = [("", ""), ("```\n", "\n```"), ("```md\n", "\n``` "), ("```\n", "")]
 ALLOW, DENY = [" Valve ", "able", "API", ""], ["api", "Deploy"]
 FAMILIES = [("src0", "alpha"), ("src1", "beta"), ("src2", "")]
 PROMPT_LINES = ["# describe", "Describe a pump.", "", "  Explain a valve.\t", "\u3000", " # not this", "Why # here?", "Describe a pump."]
-MODELS, PROMPTS = ["m1", "m2", "m3"], ["Describe a pump.", "Explain a valve."]
+PROMPTS = ["Describe a pump.", "Explain a valve."]
 #: Documents that have a phrase before it counts as common.
 HEAVY_DOCUMENTS = 20
 SEVERITIES = {"STE.IngForms": "error", "STE.PassiveVoice": "suggestion", "STE.Contractions": "loud"}
@@ -129,17 +133,67 @@ def one_column(spark: SparkSession, values: list[str], name: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], f"{name} string")
 
 
+def said_words(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+    """(pos, word, next) of all conversations, or of one role's turns: every word between blanks and the one behind it."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = rows.where(F.col("role") == role) if role else rows
+    rows = rows.select("conv_id", "turn", F.split(F.coalesce("text", F.lit("")), r"\s+", -1).alias("w")).select("conv_id", "turn", "w", F.posexplode("w").alias("i", "word"))
+    return rows.select(((F.col("conv_id") * 1000 + F.col("turn")) * 100_000 + F.col("i")).alias("pos"), "word", F.coalesce(F.get("w", F.col("i") + 1), F.lit("")).alias("next"))
+
+
+def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitutions to clean: every word of the conversations with the next one, and the fixtures ahead of them."""
+    fixed = spark.createDataFrame([(i - 100, a, b) for i, (a, b) in enumerate(ALTERNATIVES)], "pos long, title string, alt_title string")
+    return fixed.unionByName(said_words(spark, sf_dir).select("pos", F.col("word").alias("title"), F.col("next").alias("alt_title")))
+
+
 def vocab_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = wordset.substitutions(alternatives(spark))
+    subs = wordset.substitutions(alternatives(spark, sf_dir))
     return subs.select("word", F.array_join("alternatives", "|").alias("alternatives"))
 
 
-def alternatives(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ALTERNATIVES)], "pos int, title string, alt_title string")
+def vocab_unapproved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of even length count as unapproved here, against the fixtures' substitutions."""
+    status = F.when(F.length("word") % 2 == 0, "unapproved").otherwise("approved")
+    words = said_words(spark, sf_dir).select(F.col("word").alias("title"), status.alias("wordstatus"))
+    fixed = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ALTERNATIVES)], "pos int, title string, alt_title string")
+    return wordset.bare_words(words.unionByName(spark.createDataFrame(WORDS, "title string, wordstatus string")), wordset.substitutions(fixed))
 
 
-def vocab_unapproved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordset.bare_words(spark.createDataFrame(WORDS, "title string, wordstatus string"), wordset.substitutions(alternatives(spark)))
+def terms(spark: SparkSession, sf_dir: str, fixed: list[str], role: str | None = None) -> DataFrame:
+    """(term): a role's words, those of six letters at most for the user, and the fixtures."""
+    own = said_words(spark, sf_dir, role).select(F.col("word").alias("term"))
+    return (own.where(F.length("term") <= 6) if role == "user" else own).unionByName(one_column(spark, fixed, "term"))
+
+
+def file_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, explicit): the pages' urls as paths, in folders and with extensions by their ids, and the fixtures."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % len(values) + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.concat(pick(FOLDERS), F.regexp_extract("url", "://([^?#]*)", 1), pick(ENDINGS))
+    return pages.select(path.alias("path"), (F.col("page_id") % 11 == 0).alias("explicit")).unionByName(spark.createDataFrame(PATHS, "path string, explicit boolean"))
+
+
+def wrapped(spark: SparkSession, sf_dir: str, around: list[tuple[str, str]], fixed: list[str]) -> DataFrame:
+    """(text): the turns of all conversations, each with what stands around it by its conversation's id, and the fixtures."""
+    k = F.col("conv_id") % len(around)
+    pick = lambda side: F.element_at(F.array(*[F.lit(a[side]) for a in around]), (k + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select(F.concat(pick(0), F.coalesce("text", F.lit("")), pick(1)).alias("text")).unionByName(one_column(spark, fixed, "text"))
+
+
+def eval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the users' turns as a prompt file, comments in one conversation of five."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    lines = rows.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("value"), "conv_id")
+    lines = lines.select(F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit(" # "), "value")).otherwise(F.concat(F.lit("\t"), "value", F.lit(" "))).alias("value"))
+    return evaluation.prompts(lines.unionByName(one_column(spark, PROMPT_LINES, "value")))
+
+
+def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, each with how many findings the corpus has."""
+    counts = findings(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"))
+    return report.rule_table(spark, rules(Settings())).join(counts, "rule_id", "left").select("pos", "rule_id", "severity", "description", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +220,7 @@ def md_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return one_column(spark, FRONT_MATTER, "text").select("text", markdown.front_matter_end(F.col("text")).alias("front_end"))
+    return wrapped(spark, sf_dir, FRONTS, FRONT_MATTER).select("text", markdown.front_matter_end(F.col("text")).alias("front_end"))
 
 
 def fix_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,22 +270,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_text_color": lambda s, d: report.text(findings(s, d), color=True).select("path", "line", "col", "rule_id", "report"),
     "report_json": report_json,
     "lsp_diagnostics": lambda s, d: report.diagnostics(findings(s, d), texts(s, d)),
-    "list_rules": lambda s, d: report.rule_table(s, rules(Settings())),
+    "list_rules": list_rules,
     "vocab_build": vocab_build,
     "vocab_unapproved": vocab_unapproved,
-    "vocab_merge": lambda s, d: wordset.merged(one_column(s, ALLOW + DENY, "term")),
-    "allowed_vocabulary": lambda s, d: wordset.allowed(one_column(s, lex.TECHNICAL_TERMS, "term"), one_column(s, ALLOW, "term"), one_column(s, DENY, "term")),
+    "vocab_merge": lambda s, d: wordset.merged(terms(s, d, ALLOW + DENY)),
+    "allowed_vocabulary": lambda s, d: wordset.allowed(one_column(s, lex.TECHNICAL_TERMS, "term"), terms(s, d, ALLOW, "user"), terms(s, d, DENY, "assistant")),
     "scan_docs": scan_docs,
-    "scan_filter_paths": lambda s, d: files.filter_paths(s.createDataFrame(PATHS, "path string, explicit boolean"), [], ["vendor/*", "*.gen.md", "**/CHANGELOG.md"]),
-    "markdown_mode": lambda s, d: s.createDataFrame(PATHS, "path string, explicit boolean").select("path", files.is_markdown(F.col("path")).alias("markdown")),
-    "eval_tasks": lambda s, d: evaluation.tasks(one_column(s, MODELS, "model"), one_column(s, PROMPTS, "prompt")),
+    "scan_filter_paths": lambda s, d: files.filter_paths(file_paths(s, d), [], ["vendor/*", "*.gen.md", "**/CHANGELOG.md"]),
+    "markdown_mode": lambda s, d: file_paths(s, d).select("path", files.is_markdown(F.col("path")).alias("markdown")),
+    "eval_tasks": lambda s, d: evaluation.tasks(s.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("model")).distinct(), one_column(s, PROMPTS, "prompt")),
     "eval_family_lookup": lambda s, d: evaluation.with_family(s.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("model")).distinct(), s.createDataFrame(FAMILIES, "model string, family string")),
     "eval_samples": chat_samples,
     "eval_by_rule": _eval(evaluation.by_rule),
     "eval_by_model": _eval(evaluation.by_model),
     "eval_by_family": _eval(lambda r: evaluation.by_family(evaluation.by_model(r))),
     "eval_report": _eval(lambda r: evaluation.text_report(evaluation.by_model(r)).select("section", "report")),
-    "eval_prompts": lambda s, d: evaluation.prompts(one_column(s, PROMPT_LINES, "value")),
+    "eval_prompts": eval_prompts,
     "rep_n_documents": both_lengths(repetition.rep_n),
     "rep_n_windows": both_lengths(repetition.rep_n_windows),
     "rep_heavy_phrases": both_lengths(lambda d, n: repetition.heavy_phrases(d, n, HEAVY_DOCUMENTS)),
@@ -242,5 +296,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "md_mask": md_mask,
     "md_frontmatter": md_frontmatter,
     "fix_prompt": fix_prompt,
-    "strip_fence": lambda s, d: one_column(s, FENCED, "text").select("text", evaluation.strip_fence(F.col("text")).alias("stripped")),
+    "strip_fence": lambda s, d: wrapped(s, d, FENCES, FENCED).select("text", evaluation.strip_fence(F.col("text")).alias("stripped")),
 }
