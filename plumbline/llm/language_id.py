@@ -31,8 +31,8 @@ TEMPERATURES = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0)
 #: Rejection: entropy above the language's mean by so many deviations, which shrink with the root of the length, and bits.
 REJECT_DEVIATIONS, REJECT_BITS = 6.0, 1.0
 #: Words that a task gathers before it counts them, or whose scores it keeps; and how many are worked on at once.
-CACHE_WORDS = 300_000
-WORDS_AT_ONCE = 50_000
+CACHE_WORDS = 100_000
+WORDS_AT_ONCE = 15_000
 U = tokens.U
 _KINDS: list[np.ndarray] = []
 
