@@ -10,8 +10,6 @@ other url is allowed. Ties between rules of one length go to the one listed firs
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +19,8 @@ from plumbline.llm.common import materialize
 
 #: Rules written as literal expressions; longer lists are joined as a table.
 MAX_INLINE_RULES = 200
-MAX_WORD = 20
+#: Words of up to so many letters are looked up as substrings of a label, longer ones by their first so many letters.
+STEM = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,31 +57,29 @@ def with_rules(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(word, n): letters-only words of the visible text of all pages, lower-cased, 2 to MAX_WORD letters."""
+    """(word, n): letters-only words of the visible text of all pages, lower-cased, of two letters or more."""
     text = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
-    return words.where(F.length("word") <= MAX_WORD).groupBy("word").agg(F.count("*").alias("n"))
-
-
-@functools.lru_cache(maxsize=1)
-def _unknown(total: int) -> np.ndarray:
-    """Log probability of an unseen piece by length: ten times rarer with each letter."""
-    return -np.log(total + 1.0) - np.arange(64) * np.log(10.0)
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def viterbi(label: str, starts: np.ndarray, lengths: np.ndarray, logs: np.ndarray, total: int) -> list[str]:
-    """The most probable split of label; the arrays list the known substrings."""
-    n = len(label)
+    """The most probable split of label; the arrays list the known substrings.
+
+    An unseen piece of any length is ten times rarer with each letter: its best start is the running maximum of what
+    leads up to it, so a label costs its letters and its known substrings. At a tie the shorter last piece wins.
+    """
+    n, letter, first = len(label), np.log(10.0), -np.log(total + 1.0)
     best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, int)
     best[0] = 0
     known: dict[int, list[tuple[int, float]]] = {}
     for s, w, g in zip(starts, lengths, logs, strict=True):
         known.setdefault(s + w, []).append((s, g))
-    unknown = _unknown(total)
+    ahead, at = -np.inf, 0  # the largest of best[i] + i * letter, and its i
     for j in range(1, n + 1):
-        options = [(best[j - w] + unknown[w], j - w) for w in range(1, min(j, MAX_WORD) + 1)]
-        options += [(best[s] + g, s) for s, g in known.get(j, ())]
-        best[j], back[j] = max(options)
+        if best[j - 1] + (j - 1) * letter >= ahead:
+            ahead, at = best[j - 1] + (j - 1) * letter, j - 1
+        best[j], back[j] = max([(ahead - j * letter + first, at), *((best[s] + g, s) for s, g in known.get(j, ()))])
     out = []
     while n:
         out.append(label[back[n] : n])
@@ -93,17 +90,25 @@ def viterbi(label: str, starts: np.ndarray, lengths: np.ndarray, logs: np.ndarra
 def segment_labels(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words): Viterbi split of every distinct label; nothing but matching substrings is gathered per label.
 
-    Substrings (at most MAX_WORD per position) meet the counts in an equi-join; distinct substrings go first, so a
-    substring common to all labels costs one row there, and the join back is one that adaptive execution can split.
+    Substrings of up to STEM letters meet the counts in an equi-join, distinct ones first, so a substring common to all
+    labels costs one row there, and the join back is one that adaptive execution can split. Longer words meet
+    the labels by their first STEM letters and are then compared whole: words and labels may have any length.
     """
     counts = materialize(counts, "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     labels = labels.select("label").where("label is not null and label <> ''").distinct()
     at = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("s"))
-    at = at.select("label", "s", F.explode(F.sequence(F.lit(2), F.lit(MAX_WORD))).alias("w")).where("s + w <= length(label) + 1")
+    at = at.select("label", "s", F.explode(F.sequence(F.lit(2), F.lit(STEM))).alias("w")).where("s + w <= length(label) + 1")
     parts = at.select("label", (F.col("s") - 1).alias("s"), "w", F.substring("label", F.col("s"), F.col("w")).alias("word"))
-    seen = parts.select("word").distinct().join(counts, "word").select("word", F.log(F.col("n") / F.lit(max(total, 1))).alias("lp"))
-    found = parts.join(seen, "word").groupBy("label").agg(F.collect_list(F.struct("s", "w", "lp")).alias("parts"))
+    lp = F.log(F.col("n") / F.lit(max(total, 1))).alias("lp")
+    short, long = counts.where(F.length("word") <= STEM), counts.where(F.length("word") > STEM)
+    seen = parts.select("word").distinct().join(short, "word").select("word", lp)
+    found = parts.join(seen, "word").select("label", "s", "w", "lp")
+    stems = long.select(F.substring("word", 1, STEM).alias("stem"), F.col("word").alias("whole"), lp)
+    places = parts.where(F.col("w") == STEM).select("label", "s", F.col("word").alias("stem"))
+    met = places.join(stems, "stem").where(F.substring("label", F.col("s") + 1, F.length("whole")) == F.col("whole"))
+    found = found.unionByName(met.select("label", "s", F.length("whole").alias("w"), "lp"))
+    found = found.groupBy("label").agg(F.collect_list(F.struct("s", "w", "lp")).alias("parts"))
 
     @F.pandas_udf("array<string>")
     def split(label: pd.Series, parts: pd.Series) -> pd.Series:

@@ -96,6 +96,62 @@ def test_segmentation_is_best(spark):
         assert "".join(r.words) == r.label and sum(map(score, r.words)) == pytest.approx(top)
 
 
+def test_segmentation_with_long_words(spark):
+    """Words and unseen pieces of any length: compounds of 21 and more letters stay one word, and a label may have thousands."""
+    rng = random.Random(5)
+    words = {"donaudampfschifffahrtsgesellschaft": 40, "gesellschaft": 9, "rechtsschutzversicherung": 30, "recht": 50, "in": 99} | {"".join(rng.choices("ab", k=n)): n for n in (7, 8, 9, 10, 12, 21, 33)}
+    parts = [*words, "x" * 30, "q"]
+    labels = sorted({"".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(40)} | {"in" * 2000})
+    got = url_filters.segment_labels(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(list(words.items()), "word string, n long")).collect()
+    assert len(got) == len(labels)
+    total, by = sum(words.values()), {r.label: r.words for r in got}
+    assert by["in" * 2000] == ["in"] * 2000
+    import math
+
+    score = lambda w: math.log(words[w] / total) if w in words else -math.log(total + 1) - len(w) * math.log(10)
+    for label in labels[:25]:
+        if len(label) < 120:
+            best = [0.0] + [-math.inf] * len(label)
+            for j in range(1, len(label) + 1):
+                best[j] = max(best[i] + score(label[i:j]) for i in range(j))
+            assert "".join(by[label]) == label and sum(map(score, by[label])) == pytest.approx(best[-1])
+
+
+def test_naive_bayes_is_that_of_counting(spark):
+    """Scores against a plain count over all urls: host words and path tokens, smoothed, weighted by the urls a rule decides."""
+    import math
+    from collections import Counter
+
+    hosts = ["cheappills.com", "freeshoes.org", "www.cheapshoes.net", "goodnews.example.com", "freenews.org"]
+    urls = [f"http://{hosts[i % 5]}/{'buy' if i % 3 else 'read'}/item{i}/x-{i % 2}" for i in range(60)] + ["http://pills.xyz/buy/item7", "no url", None, "http://UNSEEN.host/other?x"]
+    html = "<p>cheap pills free shoes good news</p>" * 5
+    rules = [("cheappills.com/", "block"), ("example.com/read", "allow"), ("freeshoes.org/buy", "block"), ("freenews.org/", "allow")]
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filters.judge(pages, rules).collect()}
+    labels = sorted({x for r in got.values() for x in re.split(r"[^a-z]+", r.host) if x})
+    split = {r.label: r.words for r in url_filters.segment_labels(spark.createDataFrame([(x,) for x in labels], "label string"), url_filters.word_counts(pages)).collect()}
+
+    def tokens(r):
+        host = Counter("h:" + w for x in re.split(r"[^a-z]+", r.host) if x for w in split[x])
+        return host + Counter("p:" + w for w in re.split(r"[^a-z0-9]+", re.sub(r"[0-9]+", "0", r.path.lower())) if w)
+
+    counts, docs = {"block": Counter(), "allow": Counter()}, Counter()
+    for r in got.values():
+        if r.rule:
+            counts[r.verdict] += tokens(r)
+            docs[r.verdict] += 1
+    # every token of any url is in the model, also those of urls that no rule decides
+    known = set().union(*(tokens(r) for r in got.values()))
+    sums = {v: sum(c.values()) for v, c in counts.items()}
+    weight = lambda t: math.log((counts["block"][t] + 1) / (sums["block"] + len(known) + 1)) - math.log((counts["allow"][t] + 1) / (sums["allow"] + len(known) + 1))
+    prior = math.log((docs["block"] + 1) / (docs["allow"] + 1))
+    free = [r for r in got.values() if not r.rule]
+    assert len(free) > 10
+    for r in free:
+        score = prior + sum(k * weight(t) for t, k in tokens(r).items())
+        assert r.score == pytest.approx(score, abs=1e-9) and r.verdict == ("block" if score > 0 else "allow")
+
+
 def test_segmentation(spark):
     counts = spark.createDataFrame([("cheap", 50), ("pills", 40), ("che", 1), ("app", 3), ("ills", 1)], "word string, n long")
     labels = spark.createDataFrame([("cheappills",), ("zzz",), (None,), ("",)], "label string")
