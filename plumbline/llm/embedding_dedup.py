@@ -10,7 +10,8 @@ One line prunes but a constant part of the pairs of vectors spread evenly, so th
 about a nanosecond per pair and line; no pair is written out, only counts and a spanning label per vector and block pair.
 A dense group, however large, is just more full blocks: every task has two blocks of BLOCK rows.
 
-Defined results. Vectors that take no part (see vectors.with_row_ids) link with nothing and are kept. Repeated rows
+Defined results. Vectors that take no part (see vectors.with_row_ids) link with nothing and are kept; those of different
+widths never link. Repeated rows
 are vectors of their own and link. A row with a null vec_id may link; component_id is the smallest id that is not
 null, and a null row is kept only if it has no component id. An empty table gives no rows.
 """
@@ -92,45 +93,44 @@ def summary(ids_a: np.ndarray, ids_b: np.ndarray, i: np.ndarray, j: np.ndarray,
 
 
 def block_pairs(blocks: DataFrame, window: float) -> DataFrame:
-    """(a, b), a <= b: blocks(block, lo, hi) that come within window of each other, by an equi-join on cells of the line."""
+    """(width, a, b), a <= b: blocks(width, block, lo, hi) of one width that come within window of each other, by an equi-join on cells of the line."""
     cell = lambda c: F.floor(F.col(c) / window)
-    a = blocks.select(F.col("block").alias("a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo"), cell("hi") + 1)).alias("cell"))
-    b = blocks.select(F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
-    return a.join(b, "cell").where("a <= b").where(F.col("lo_b") - F.col("hi_a") <= window).select("a", "b").distinct()
+    a = blocks.select("width", F.col("block").alias("a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(cell("lo"), cell("hi") + 1)).alias("cell"))
+    b = blocks.select("width", F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"))
+    return a.join(b, ["width", "cell"]).where("a <= b").where(F.col("lo_b") - F.col("hi_a") <= window).select("width", "a", "b").distinct()
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     base = vectors.with_row_ids(rows, vec_id, embedding)
-    some = base.where("ok").agg(F.max(F.size("vec")).alias("d"), F.count("*").alias("n")).first()
-    width, n = some["d"] or 1, some["n"]
+    n = base.where("ok").count()
     least, route = calibrate(cosine)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        line = lines_for(width)[:, LINES]
         for batch in batches:
-            p = vectors.unit(vectors.matrix(batch.column(1), width)) @ line
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p)], names=["uid", "vec", "p"])
+            for width, part in vectors.of_each_width(batch, 1):
+                p = vectors.unit(vectors.matrix(part.column(1), width)) @ lines_for(width)[:, LINES]
+                yield pa.record_batch([*part.columns, pa.array(p)], names=["uid", "vec", "width", "p"])
 
     parts = partitions_for(n, 16 * BLOCK)
-    flat = base.where("ok").select("uid", "vec").mapInArrow(project, "uid long, vec array<double>, p double")
-    flat = materialize(flat.repartitionByRange(parts, "p", "uid").withColumn("part", F.spark_partition_id()), "projected")
+    flat = base.where("ok").select("uid", "vec", "width").mapInArrow(project, "uid long, vec array<double>, width int, p double")
+    flat = materialize(flat.repartitionByRange(parts, "width", "p", "uid").withColumn("part", F.spark_partition_id()), "projected")
     ahead = flat.groupBy("part").agg(F.count("*").alias("n"))
     ahead = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("p", "uid")) - 1
+    place = F.row_number().over(Window.partitionBy("part").orderBy("width", "p", "uid")) - 1
     ranked = flat.withColumn("place", place).join(F.broadcast(ahead), "part")  # a row per 16 blocks
-    blocks = ranked.groupBy(F.floor((F.col("place") + F.col("ahead")) / BLOCK).alias("block")).agg(F.collect_list(F.struct("uid", "vec")).alias("rows"), F.min("p").alias("lo"), F.max("p").alias("hi"))
+    blocks = ranked.groupBy("width", F.floor((F.col("place") + F.col("ahead")) / BLOCK).alias("block")).agg(F.collect_list(F.struct("uid", "vec")).alias("rows"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     blocks = materialize(blocks, "blocks")
-    pairs = materialize(block_pairs(blocks.select("block", "lo", "hi"), route), "block-pairs")
-    units = pairs.join(blocks.select(F.col("block").alias("a"), F.col("rows").alias("rows_a")), "a").join(blocks.select(F.col("block").alias("b"), F.col("rows").alias("rows_b")), "b")
+    pairs = materialize(block_pairs(blocks.select("width", "block", "lo", "hi"), route), "block-pairs")
+    units = pairs.join(blocks.select("width", F.col("block").alias("a"), F.col("rows").alias("rows_a")), ["width", "a"]).join(blocks.select("width", F.col("block").alias("b"), F.col("rows").alias("rows_b")), ["width", "b"])
     units = units.select("a", "b", "rows_a", "rows_b").repartition(partitions_for(pairs.count(), 4))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 same = batch.column(0)[k].as_py() == batch.column(1)[k].as_py()
-                ids_a, a = vectors.block(batch.column(2)[k].values, width)
-                ids_b, b = vectors.block(batch.column(3)[k].values, width)
+                ids_a, a = vectors.block(batch.column(2)[k].values)
+                ids_b, b = vectors.block(batch.column(3)[k].values)
                 i, j = links(a, b, least, cosine, same)
                 uid, count, label = summary(ids_a, ids_b, i, j, same)
                 yield pa.record_batch([pa.array(uid), pa.array(count.astype(np.int64)), pa.array(label)], names=["uid", "k", "label"])

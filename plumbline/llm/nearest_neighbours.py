@@ -10,7 +10,8 @@ Survivors get the exact cosine of the original vectors in double precision.
 Long lists are cut into chunks of about CHUNK rows and queries of a list into blocks of about QUERIES, so no task
 depends on the size of a list.
 
-Defined results. Vectors that take no part (see vectors.with_row_ids) are neither queries nor candidates. A repeated
+Defined results. Vectors that take no part (see vectors.with_row_ids) are neither queries nor candidates; neighbours
+have the query's width, and each width has an index of its own. A repeated
 row is a candidate of its own, so a query's copy is its neighbour. Rows with a null vec_id are no queries. Fewer
 candidates than k are all returned. An empty table gives no rows.
 """
@@ -110,26 +111,30 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
     """(query_id, rank, vec_id, score): the k nearest found of every row for which is_query holds (over vec_id)."""
     base = vectors.with_row_ids(rows, vec_id, embedding)
     good = base.where("ok")
-    width = good.agg(F.max(F.size("vec")).alias("d")).first()["d"] or 1
-    sample = good.orderBy(F.xxhash64("vec_id", "uid"), "uid").limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
-    sample = vectors.unit(vectors.matrix(sample, width)) if len(sample) else np.ones((1, width))
-    centres = fit_centroids(sample)
-    probes = fit_probes(sample, centres, k)
-
-    def assign(count: int) -> object:
+    fitted: dict[int, tuple[np.ndarray, int]] = {}
+    for width in sorted(r["width"] for r in good.select("width").distinct().collect()):  # a few: the table's widths
+        mine = good.where(F.col("width") == width)
+        sample = mine.orderBy(F.xxhash64("vec_id", "uid"), "uid").limit(SAMPLE).select("vec").toArrow().column(0).combine_chunks()
+        unit = vectors.unit(vectors.matrix(sample, width))
+        centres = fit_centroids(unit)
+        fitted[width] = centres, fit_probes(unit, centres, k)
+
+    def assign(probe: bool) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                near = vectors.unit(vectors.matrix(batch.column(2), width)) @ centres.T
-                lists = np.argsort(-near, axis=1, kind="stable")[:, :count]
-                index = pa.array(np.repeat(np.arange(len(batch)), lists.shape[1]))
-                part = batch.take(index)
-                yield pa.record_batch([*part.columns, pa.array(lists.ravel().astype(np.int32))], names=["uid", "vec_id", "vec", "list"])
+                for width, part in vectors.of_each_width(batch, 2):
+                    centres, probes = fitted[width]
+                    near = vectors.unit(vectors.matrix(part.column(2), width)) @ centres.T
+                    lists = np.argsort(-near, axis=1, kind="stable")[:, : probes if probe else 1]
+                    index = pa.array(np.repeat(np.arange(len(part)), lists.shape[1]))
+                    # a width has lists of its own
+                    yield pa.record_batch([*part.take(index).columns, pa.array(width * 2**20 + lists.ravel())], names=["uid", "vec_id", "vec", "list"])
 
         return run
 
-    schema = f"uid long, vec_id {base.schema['vec_id'].dataType.simpleString()}, vec array<double>, list int"
-    rows_in = materialize(good.select("uid", "vec_id", "vec").mapInArrow(assign(1), schema), "lists")
-    asked = materialize(good.where(is_query).select("uid", "vec_id", "vec").mapInArrow(assign(probes), schema), "probes")
+    schema = f"uid long, vec_id {base.schema['vec_id'].dataType.simpleString()}, vec array<double>, list long"
+    rows_in = materialize(good.select("uid", "vec_id", "vec").mapInArrow(assign(False), schema), "lists")
+    asked = materialize(good.where(is_query).select("uid", "vec_id", "vec").mapInArrow(assign(True), schema), "probes")
 
     def chunked(table: DataFrame, size: int, to: str) -> DataFrame:
         sizes = {r["list"]: partitions_for(r["count"], size) for r in table.groupBy("list").count().collect()}  # one row per list
@@ -139,13 +144,16 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
     units = materialize(chunked(asked, QUERIES, "q"), "query-blocks").join(materialize(chunked(rows_in, CHUNK, "r"), "row-chunks"), "list")
     units = materialize(units.select("q", "r"), "scan-units")
     units = units.repartition(partitions_for(units.count(), 4))
-    turn = rotation(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray | None] = {}
         for batch in batches:
             for n in range(len(batch)):
                 q, r = batch.column(0)[n].values, batch.column(1)[n].values
-                (qids, qv), (rids, rv) = vectors.block(q, width), vectors.block(r, width)
+                (qids, qv), (rids, rv) = vectors.block(q), vectors.block(r)
+                turn = turns.setdefault(qv.shape[1], None)
+                if turn is None:
+                    turn = turns[qv.shape[1]] = rotation(qv.shape[1])
                 qv, rv = vectors.unit(qv), vectors.unit(rv)
                 order = np.argsort(rids)
                 at = np.minimum(np.searchsorted(rids[order], qids), len(rids) - 1)

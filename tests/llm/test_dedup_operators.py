@@ -174,6 +174,28 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_widths(spark):
+    """Rare widths have links and neighbours of their own, in one table with a common one."""
+    rng = np.random.default_rng(9)
+    rows, v = vectors()
+    rare = rng.standard_normal((60, 5))
+    rare[30:] = rare[:30] + 0.01 * rng.standard_normal((30, 5))
+    df = spark.createDataFrame(rows + [(2000 + i, x.tolist()) for i, x in enumerate(rare)] + [(3000, [2.0]), (3001, [5.0]), (3002, [-1.0])], "vec_id long, embedding array<double>")
+    u = rare / np.linalg.norm(rare, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = roots(len(u), np.argwhere(link).tolist())
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [got[2000 + i] for i in range(60)] == [(link[i].sum(), 2000 + root[i]) for i in range(60)]
+    # 904 is [1.0] as well
+    assert (got[3000], got[3001], got[3002], got[904]) == ((2, 904), (2, 904), (0, 3002), (2, 904))
+    out = nearest_neighbours.nearest(df, F.col("vec_id").isin(2000, 3000)).collect()
+    near = lambda q: [(r.vec_id, pytest.approx(r.score)) for r in sorted(out, key=lambda r: r.rank) if r.query_id == q]
+    s = u @ u[0]
+    assert near(2000) == [(2000 + i, s[i]) for i in np.argsort(-s)[1:6]]
+    assert near(3000) == [(904, 1.0), (3001, 1.0), (3002, -1.0)]
+
+
 def test_neighbours(spark):
     rows, v = vectors(n=1500, seed=6)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
