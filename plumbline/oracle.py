@@ -374,6 +374,14 @@ ORACLE_SQL: dict[str, str] = {
     "eval_report": evaluated("""select cast(0 as integer) as section, printf('  %-12s slop %6.2f  all %6.2f  (%d models, %d words)', family, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end, models, words) as report
         from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)
         union all select 1, printf('  %-28s %-10s slop %6.2f  all %6.2f  (%d words)', model, family, slop_per_100, total_per_100, words) || case when errors > 0 then printf('  [%d errors: %s]', errors, first_error) else '' end from by_model"""),
+    "eval_rollup": evaluated("""select cast(grouping(family, model, rule_id) as integer) as level, family, model, rule_id, cast(sum(n) as bigint) as n, cast(case when grouping(rule_id) = 1 then sum(words) end as bigint) as words,
+            case when grouping(rule_id) = 1 then case when sum(words) = 0 then 0.0::double else sum(n) * 100.0::double / sum(words) end end as per_100
+        from (select family, model, rule_id, coalesce(n, 0) as n, 0 as words, rule_id is null as own from counted union all select family, model, null, 0, words, true from replies)
+        group by grouping sets ((family, model, rule_id), (family, model), (family, rule_id), (family), (rule_id), ()) having grouping(rule_id) = 1 or rule_id is not null"""),
+    "eval_json": evaluated("""select 'models' as section, family, model, samples as size, errors, words, slop_findings, total_findings, round(slop_per_100, 6) as slop_per_100, round(total_per_100, 6) as total_per_100, coalesce(rules, '') as rules, coalesce(first_error, '') as first_error
+        from by_model left join (select model, string_agg(rule_id || '=' || n, ';' order by rule_id) as rules from (select model, rule_id, cast(sum(n) as bigint) as n from counted where n is not null group by model, rule_id) group by model) using (model)
+        union all select 'families', family, null, count(*), null, cast(sum(words) as bigint), cast(sum(slop_findings) as bigint), cast(sum(total_findings) as bigint),
+            round(case when sum(words) = 0 then 0.0::double else sum(slop_findings) * 100.0::double / sum(words) end, 6), round(case when sum(words) = 0 then 0.0::double else sum(total_findings) * 100.0::double / sum(words) end, 6), null, null from by_model group by family"""),
     "eval_prompts": f"select p as prompt from (select regexp_replace(value, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') as p from (select value from {values([(p,) for p in PROMPT_LINES], 'value')} union all select case when conv_id % 5 = 0 then ' # ' || value else chr(9) || value || ' ' end from (select conv_id, unnest(string_split(coalesce(text, ''), chr(10))) as value from conversations where role = 'user'))) where p <> '' and p not like '#%'",
     "md_frontmatter": f"select text, cast(length(regexp_extract(text, {q(FRONT_PATTERN.replace(chr(92) + 'Z', chr(92) + 'z'))}, 0)) as integer) as front_end from {wrapped(FRONTS, FRONT_MATTER)}",
     "fix_prompt": with_(*LOOKUPS, *SUPPRESS, *FOUND, f"""by_rule as (

@@ -241,6 +241,18 @@ def pair_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("path", "block_id", "sent_id")], "shared", "together")
 
 
+def eval_json(rows: DataFrame) -> DataFrame:
+    """Every object of the JSON report, read back."""
+    kind = "struct<Family:string,Model:string,Models:bigint,Samples:bigint,Errors:bigint,Words:bigint,SlopFindings:bigint,TotalFindings:bigint,SlopPer100Words:double,TotalPer100Word:double,ByRule:map<string,bigint>,FirstError:string>"
+    got = evaluation.json_report(rows).select("section", F.from_json("json", kind).alias("r")).select("section", "r.*")
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("ByRule"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
+    return got.select(
+        "section", F.col("Family").alias("family"), F.col("Model").alias("model"), F.coalesce("Models", "Samples").alias("size"), F.col("Errors").alias("errors"), F.col("Words").alias("words"),
+        F.col("SlopFindings").alias("slop_findings"), F.col("TotalFindings").alias("total_findings"), F.round("SlopPer100Words", 6).alias("slop_per_100"),
+        F.round("TotalPer100Word", 6).alias("total_per_100"), said.alias("rules"), F.col("FirstError").alias("first_error"),
+    )
+
+
 def _eval(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(evaluation.samples(replies(spark, sf_dir), markdown=False))
 
@@ -285,6 +297,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_by_model": _eval(evaluation.by_model),
     "eval_by_family": _eval(lambda r: evaluation.by_family(evaluation.by_model(r))),
     "eval_report": _eval(lambda r: evaluation.text_report(evaluation.by_model(r)).select("section", "report")),
+    "eval_rollup": _eval(evaluation.rollup),
+    "eval_json": _eval(eval_json),
     "eval_prompts": eval_prompts,
     "rep_n_documents": both_lengths(repetition.rep_n),
     "rep_n_windows": both_lengths(repetition.rep_n_windows),
