@@ -321,3 +321,70 @@ def test_language_model_is_whole(spark, monkeypatch):
         grams = {f"^{w}$"[i : i + n] for w in words for i in range(len(w) + 3 - n)}
         probable = (model.tables[n].values["p"][:-1] > 0).sum()
         assert probable == len(grams)
+
+
+def brute_kneser_ney(texts):
+    """(word -> bits) of one language's interpolated Kneser-Ney model, by counting strings; marks are blanks. None is for its base."""
+    order, grams = language_id.ORDER, {}
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            s = f" {w} "
+            for end in range(1, len(s)):
+                for n in range(1, min(order, end + 1) + 1):
+                    key = (s[end - n + 1 : end + 1], end == n - 1)
+                    grams[key] = grams.get(key, 0) + 1
+    adjusted = {}
+    for (g, opens), k in grams.items():
+        lefts = len({x for x in grams if len(x[0]) == len(g) + 1 and x[0][1:] == g})
+        adjusted[g, opens] = k if len(g) == order or opens else lefts or k
+    discount = {}
+    for n in range(1, order + 1):
+        c = [v for (g, _), v in adjusted.items() if len(g) == n]
+        n1, n2 = c.count(1), c.count(2)
+        discount[n] = min(n1 / (n1 + 2 * n2) if n1 else 0.5, 0.9)
+    total, kinds, value = {}, {}, {}
+    for (g, _), v in adjusted.items():
+        total[len(g), g[:-1]] = total.get((len(g), g[:-1]), 0) + v
+        kinds[len(g), g[:-1]] = kinds.get((len(g), g[:-1]), 0) + 1
+    for (g, _), v in adjusted.items():
+        value[g] = max(v - discount[len(g)], 0) / total[len(g), g[:-1]]
+
+    def bits(word, base):
+        s, out = f" {word} ", 0.0
+        for end in range(1, len(s)):
+            p = base
+            for n in range(1, min(order, end + 1) + 1):
+                g = s[end - n + 1 : end + 1]
+                key = (n, g[:-1])
+                p = p * (discount[n] * kinds[key] / total[key] if key in total else 1.0) + value.get(g, 0.0)
+            out -= np.log2(max(p, 1e-12))
+        return out
+
+    return bits, {g for g, _ in grams if len(g) == 1} | {g[:-1] for g, _ in grams if len(g) == 2}
+
+
+def test_language_model_is_that_of_counting(spark):
+    """Bits a character against a plain Kneser-Ney of strings; ties go to the first language; noise is rejected, text is not."""
+    rng = random.Random(11)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(25))
+    kinds = {"aa": ["the", "ing", "er", "on"], "bb": ["sch", "ung", "ü", "ei"]}
+    rows = [(i, make(kinds["aa" if i % 2 else "bb"]), "aa" if i % 2 else "bb") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    brute = {x: brute_kneser_ney([t for _, t, g in rows if g == x]) for x in kinds}
+    symbols = set().union(*(b[1] for b in brute.values()))
+    tests = rows[:4] + [(100, "Then schungs xyz, ü", "aa"), (101, "a", "aa")]
+    asked = spark.createDataFrame(tests, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.entropies(asked, model, ["doc_id"]).collect()}
+    for i, t, _ in tests:
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        n = sum(len(w) + 1 for w in words)
+        assert got[i].n == n
+        for k, x in enumerate(["aa", "bb"]):
+            assert got[i].bits[k] == pytest.approx(sum(brute[x][0](w, 1 / (4 * max(2, len(symbols)))) for w in words) / n, rel=1e-4)
+    twins = spark.createDataFrame([(i, make(["the", "on"]), x) for i, x in enumerate(["zz", "aa"] * 6)], "doc_id long, text string, lang string")
+    same = twins.select("doc_id", F.lit("the onthe on").alias("text"), "lang")  # both languages learn the same text
+    assert {r.lang_pred for r in language_id.identify(same, F.lit(True)).collect()} == {"aa"}
+    noise = spark.createDataFrame([*rows, (200, " ".join("".join(rng.choice("qxzjkwvfpb") for _ in range(7)) for _ in range(60)), None)], "doc_id long, text string, lang string")
+    rejected = {r.doc_id for r in language_id.identify(noise, F.col("lang").isNotNull()).collect() if r.rejected}
+    assert rejected == {200}
