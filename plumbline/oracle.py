@@ -330,6 +330,7 @@ ORACLE_SQL: dict[str, str] = {
     "sentences": with_() + " select path, block_id, sent_id, block_kind, word_count, line, col, end_line, end_col from sents",
     "sentence_word_count": with_() + " select path, count(*) as n_sentences, cast(sum(word_count) as bigint) as n_words, max(word_count) as longest from sents group by path",
     **{key: with_(*LOOKUPS) + "\n" + "\nunion all ".join(RULES[rule]) for rule, key in RULE_KEYS.items()},
+    "vocabulary_by_join": with_(*LOOKUPS) + "\n" + "\nunion all ".join(RULES["STE.Vocabulary"]),
     "rule_vocabulary_all_terms": (with_(*LOOKUPS) + "\n" + "\nunion all ".join(RULES["STE.Vocabulary"])).replace(LOOKUPS[1], f"""hints as (select *, len(string_split(key, ' ')) as n from {values([(k, hint_of(v)) for k, v in lex.SUBSTITUTIONS.items()], 'key, val')})"""),
     "rule_vocabulary_strict": with_(*LOOKUPS) + "\n" + "\nunion all ".join([*RULES["STE.Vocabulary"], STRICT]),
     "lint_all": over(f"select {COLUMNS} from kept"),

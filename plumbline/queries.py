@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as lex
-from plumbline.operators import evaluation, parse, repetition, report, suppress
+from plumbline.operators import dictionary, evaluation, parse, repetition, report, suppress
 from plumbline.operators.rules import Settings, rules
 from plumbline.plans import engine
 from plumbline.sources import files, markdown, wordset
@@ -241,6 +241,12 @@ def pair_rows(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("path", "block_id", "sent_id")], "shared", "together")
 
 
+def vocabulary_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary rule with its word list as a table."""
+    subs = spark.createDataFrame([(w, a) for w, a in lex.SUBSTITUTIONS.items()], "word string, alternatives array<string>")
+    return over(spark, sf_dir, lambda d: dictionary.findings(d, dictionary.entries(subs, one_column(spark, lex.TECHNICAL_TERMS, "term"))))
+
+
 def eval_json(rows: DataFrame) -> DataFrame:
     """Every object of the JSON report, read back."""
     kind = "struct<Family:string,Model:string,Models:bigint,Samples:bigint,Errors:bigint,Words:bigint,SlopFindings:bigint,TotalFindings:bigint,SlopPer100Words:double,TotalPer100Word:double,ByRule:map<string,bigint>,FirstError:string>"
@@ -265,6 +271,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentences": parsed(parse.sentence_spans),
     "sentence_word_count": parsed(lambda d: parse.sentence_spans(d).groupBy("path").agg(F.count("*").alias("n_sentences"), F.sum("word_count").alias("n_words"), F.max("word_count").alias("longest"))),
     **{key: rule_query(rule, Settings()) for rule, key in RULE_KEYS.items()},
+    "vocabulary_by_join": vocabulary_by_join,
     "rule_vocabulary_all_terms": rule_query("STE.Vocabulary", Settings(allowed=frozenset())),
     "rule_vocabulary_strict": rule_query("STE.Vocabulary", ALL),
     "lint_all": lint_all,

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from plumbline.operators import parse, report, suppress
+from plumbline.operators import dictionary, evaluation, parse, report, suppress
 from plumbline.operators.rules import Settings, rules
 from plumbline.plans import engine
 
@@ -173,3 +174,35 @@ def test_partitioning_does_not_matter(spark):
     docs = spark.createDataFrame([(str(i), f"It was opened {i}. Testing isn't done.") for i in range(40)], "path string, text string")
     rows = lambda d: sorted(map(tuple, engine.lint(d).collect()))
     assert rows(docs.repartition(7)) == rows(docs.coalesce(1))
+
+
+def test_dictionary_of_any_size(spark):
+    """100,000 entries beside the rule's own: its findings, and the plan of a small dictionary."""
+    s = Settings(allowed=frozenset({"able", "according to"}))
+    text = "Hook up to the pump according to it. Able means give rise to. By means of an able pump, top up to it. Top up to. Unknownword7 seven words here."
+    docs = spark.createDataFrame([("p", text), ("q", "Able " * 300 + "hook up"), ("r", None), ("s", "")], "path string, text string")
+    own = spark.createDataFrame([(w, a) for w, a in s.substitutions.items()], "word string, alternatives array<string>")
+    more = spark.range(100_000).select(F.concat(F.lit("Unknownword"), "id").alias("word"), F.array(F.lit("x"), F.col("id").cast("string")).alias("alternatives"))
+    terms = spark.createDataFrame([("able",), ("According to",)], "term string")
+    rows = lambda t: sorted(tuple(r) for r in dictionary.findings(docs, dictionary.entries(t, terms)).collect())
+    want = sorted(tuple(r) for r in engine.run_rules(docs, [r for r in rules(s) if r.id == "STE.Vocabulary"]).collect())
+    assert rows(own) == want and len(want) > 5
+    extra = set(rows(own.unionByName(more))) - set(want)
+    assert [(r[3], r[-1]) for r in extra] == [('Use "x" or "7".', "Unknownword7")]
+    assert dictionary.findings(docs, dictionary.entries(own.limit(0))).count() == 0
+
+
+def test_rollup_and_json(spark):
+    """Totals of the levels agree, and the JSON objects carry what the tables do."""
+    rows = [(i, f"m{i % 3}", f"f{i % 2}", "It isn't opened. Don't." if i % 4 else "fine words", None) for i in range(12)] + [(99, "m9", "f9", None, "no route")]
+    got = evaluation.samples(spark.createDataFrame(rows, "seq int, model string, family string, output string, err string"))
+    roll = evaluation.rollup(got).collect()
+    by = lambda level, what: sum(getattr(r, what) or 0 for r in roll if r.level == level)
+    assert len({by(k, "n") for k in (0, 1, 2, 3, 6, 7)}) == 1 and by(7, "n") > 0
+    assert by(1, "words") == by(3, "words") == by(7, "words") == 9 * 4 + 3 * 2
+    import json
+
+    report = [(r.section, json.loads(r.json)) for r in evaluation.json_report(got).collect()]
+    models = {r["Model"]: r for s, r in report if s == "models"}
+    assert models["m9"]["FirstError"] == "no route" and models["m9"]["ByRule"] == {} and models["m0"]["ByRule"]["STE.Contractions"] == sum(1 for i in range(0, 12, 3) if i % 4) * 2
+    assert {r["Family"] for s, r in report if s == "families"} == {"f0", "f1", "f9"}
