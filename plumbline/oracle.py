@@ -375,6 +375,7 @@ ORACLE_SQL: dict[str, str] = {
     "eval_report": evaluated("""select cast(0 as integer) as section, printf('  %-12s slop %6.2f  all %6.2f  (%d models, %d words)', family, case when words = 0 then 0.0::double else slop_findings * 100.0::double / words end, case when words = 0 then 0.0::double else total_findings * 100.0::double / words end, models, words) as report
         from (select family, count(*) as models, cast(sum(words) as bigint) as words, cast(sum(slop_findings) as bigint) as slop_findings, cast(sum(total_findings) as bigint) as total_findings from by_model group by family)
         union all select 1, printf('  %-28s %-10s slop %6.2f  all %6.2f  (%d words)', model, family, slop_per_100, total_per_100, words) || case when errors > 0 then printf('  [%d errors: %s]', errors, first_error) else '' end from by_model"""),
+    "stream_lint": over(f"select {COLUMNS} from kept").replace("select 'doc:' || doc_id as path, text, false as md from documents", "select 'conv:' || conv_id as path, max_by(text, turn) as text, false as md from conversations group by conv_id").replace(f"union all select * from {values(FIXTURES, 'path, text, md')}", ""),
     "eval_rollup": evaluated("""select cast(grouping(family, model, rule_id) as integer) as level, family, model, rule_id, cast(sum(n) as bigint) as n, cast(case when grouping(rule_id) = 1 then sum(words) end as bigint) as words,
             case when grouping(rule_id) = 1 then case when sum(words) = 0 then 0.0::double else sum(n) * 100.0::double / sum(words) end end as per_100
         from (select family, model, rule_id, coalesce(n, 0) as n, 0 as words, rule_id is null as own from counted union all select family, model, null, 0, words, true from replies)

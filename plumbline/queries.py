@@ -12,6 +12,7 @@ from plumbline.operators import dictionary, evaluation, parse, repetition, repor
 from plumbline.operators.rules import Settings, rules
 from plumbline.plans import engine
 from plumbline.sources import files, markdown, wordset
+from plumbline.streaming import lint_stream
 
 #: Texts that make every rule fire: (path, text, markdown). The documents never do for most of them.
 FIXTURES = [
@@ -247,6 +248,14 @@ def vocabulary_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over(spark, sf_dir, lambda d: dictionary.findings(d, dictionary.entries(subs, one_column(spark, lex.TECHNICAL_TERMS, "term"))))
 
 
+def stream_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns as changes of one document, replayed as a stream: the findings of its last turn stand."""
+    # a pattern, as a stream's plain path must be a folder, and a table may be one file
+    rows = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/conversation[s].parquet")
+    changes = rows.select(F.concat(F.lit("conv:"), "conv_id").alias("path"), F.col("turn").alias("seq"), "text", F.lit(False).alias("closed"))
+    return lint_stream.replay(changes, lint_stream.work_folder(spark, "stream-lint"))
+
+
 def eval_json(rows: DataFrame) -> DataFrame:
     """Every object of the JSON report, read back."""
     kind = "struct<Family:string,Model:string,Models:bigint,Samples:bigint,Errors:bigint,Words:bigint,SlopFindings:bigint,TotalFindings:bigint,SlopPer100Words:double,TotalPer100Word:double,ByRule:map<string,bigint>,FirstError:string>"
@@ -304,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_by_model": _eval(evaluation.by_model),
     "eval_by_family": _eval(lambda r: evaluation.by_family(evaluation.by_model(r))),
     "eval_report": _eval(lambda r: evaluation.text_report(evaluation.by_model(r)).select("section", "report")),
+    "stream_lint": stream_lint,
     "eval_rollup": _eval(evaluation.rollup),
     "eval_json": _eval(eval_json),
     "eval_prompts": eval_prompts,

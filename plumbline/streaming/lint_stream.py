@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,6 +79,43 @@ def start(changes: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None],
     return (query.trigger(**trigger) if trigger else query).start()
 
 
+def into_tables(folder: str) -> Callable[[DataFrame, DataFrame, int], None]:
+    """A sink that writes each batch's findings and documents to a folder of its own; a batch that runs again replaces what it wrote."""
+
+    def sink(findings: DataFrame, documents: DataFrame, number: int) -> None:
+        findings.write.mode("overwrite").parquet(f"{folder}/findings/batch={number}")
+        documents.write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+
+    return sink
+
+
+def standing(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings that stand after all batches of into_tables: those of the last batch that saw their document, none of closed ones."""
+    seen = spark.read.parquet(f"{folder}/documents").groupBy("path").agg(F.max("batch").alias("batch"), F.max_by(F.coalesce("closed", F.lit(False)), "batch").alias("closed"))
+    rows = spark.read.parquet(f"{folder}/findings")
+    return rows.join(seen.where("not closed").select("path", "batch"), ["path", "batch"], "left_semi").select(*[c for c in rows.columns if c != "batch"])
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-plumbline-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def replay(changes: DataFrame, folder: str, settings: Callable[[], Settings] = Settings) -> DataFrame:
+    """The findings that stand after all that a streaming changes(path, seq, text, closed) holds now.
+
+    The folder keeps the stream's place and the tables: a replay into the same one goes on where the last one ended.
+    """
+    start(changes, into_tables(folder), f"{folder}/checkpoint", settings, availableNow=True).awaitTermination()
+    return standing(changes.sparkSession, folder)
+
+
 def file_changes(spark: SparkSession, folder: str) -> DataFrame:
     """New files of a folder as changes: lint on write."""
     rows = spark.readStream.text(folder, wholetext=True)

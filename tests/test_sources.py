@@ -159,3 +159,18 @@ def test_whole_files(spark, tmp_path):
     seen = []
     lint_stream.start(lint_stream.file_changes(spark, str(tmp_path / "in")), lambda f, d, n: seen.extend(sorted((r.line, r.col) for r in f.collect())), str(tmp_path / "ck"), availableNow=True).awaitTermination(120)
     assert seen == [(1, 1), (3, 1)]
+
+
+def test_stream_replay_goes_on_after_a_restart(spark, tmp_path):
+    """Two replays into one folder: the second reads only what is new, and what stands is the batch lint of the last texts."""
+    schema = "path string, seq long, text string, closed boolean"
+    write = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    changes = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folder = str(tmp_path / "out")
+    write([("a", 1, "It isn't opened.", False), ("b", 1, "Testing it.", False), ("c", 1, "Don't.", False)], "1")
+    first = {(r.path, r.match) for r in lint_stream.replay(changes(), folder).collect()}
+    assert {p for p, _ in first} == {"a", "b", "c"}
+    write([("a", 2, "All is fine.", False), ("b", 2, None, False), ("b", 0, "Don't be old.", False), ("c", 2, None, True), ("d", 5, "Don't.", False)], "2")
+    got = sorted(tuple(r) for r in lint_stream.replay(changes(), folder).collect())
+    last = spark.createDataFrame([("a", "All is fine."), ("b", "Testing it."), ("d", "Don't.")], "path string, text string")
+    assert got == sorted(tuple(r) for r in engine.lint(last).collect())
