@@ -279,6 +279,55 @@ def test_periodic():
         assert inside.tolist() == want and last.tolist() == [b and not w for b, w in zip(before, want, strict=True)]
 
 
+def quoted_pairs(seed, pairs=60, words=80, share=0.15, quote=20):
+    """(docs, ids of the pairs): passages and altered copies of them, every piece of which other texts quote too."""
+    rng = random.Random(seed)
+    make = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    rows, wanted = [], []
+    for _ in range(pairs):
+        passage = make(words)
+        copy = [f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in passage]
+        wanted.append((len(rows), len(rows) + 1))
+        rows += [make(60) + passage + make(60), make(60) + copy + make(60)]
+        rows += [make(40) + passage[i : i + quote] + make(40) for i in range(0, words, quote)]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)], wanted
+
+
+@pytest.mark.parametrize("share,quote", [(0.15, 20), (0.1, 12)])
+def test_altered_passages_whose_seeds_others_quote(spark, share, quote):
+    rows, wanted = quoted_pairs(17, share=share, quote=quote)
+    got = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(w in got for w in wanted) >= 0.95 * len(wanted), sum(w in got for w in wanted)
+    assert got <= {x for a, b in wanted for x in ((a, b), (b, a))}
+
+
+def test_contexts():
+    """Against plain minima, text by text."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(30)}" for _ in range(n)) for n in (60, 3, 0, 120, 5)]
+    seeds, at, kind, around, ends, n = substring_dedup.minimizers(substring_dedup.pa.array(texts))
+    tokens, top = substring_dedup.tokens, np.iinfo(np.uint64).max
+    for t, text in enumerate(texts):
+        words, _ = tokens.word_hashes(substring_dedup.pa.array([text]))
+        for i in range(ends[t], ends[t + 1]):
+            sides = zip(tokens.stream(9, 2), (words[max(0, at[i] - substring_dedup.REACH) : at[i]], words[at[i] + substring_dedup.K_WORDS :][: substring_dedup.REACH]), strict=True)
+            want = [int(tokens.mix64(w + s).min() if len(w) else top) >> 48 for s, w in sides]
+            assert int(around[i : i + 1].view(np.uint32)[0]) == want[0] << 16 | want[1]
+
+
+def test_colliding_text_hashes(spark, monkeypatch):
+    rng = random.Random(8)
+    make = lambda k: [f"w{rng.randrange(5000)}" for _ in range(k)]
+    base = make(70)
+    rows = [make(30) + base, base + make(20), make(90), make(90)]
+    rows = [(i, " ".join(r)) for i, r in enumerate([*rows, rows[2], rows[0]])] + [(9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, substring_dedup.repeated_passages(df).select("doc_id", "other_id", "start", "end", "other_start", "other_end").collect()))
+    whole = substring_dedup.text_hash
+    monkeypatch.setattr(substring_dedup, "text_hash", lambda text: whole(text) % 2)
+    assert sorted(map(tuple, substring_dedup.repeated_passages(df).select("doc_id", "other_id", "start", "end", "other_start", "other_end").collect())) == want and want
+
+
 def test_passages_of_similarity(spark):
     """Copies of 60 to 100 words with 10 to 20 % of the words changed, evenly or at random, against the diagonal by brute force."""
     rng = random.Random(12)
