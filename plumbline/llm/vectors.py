@@ -19,9 +19,10 @@ def with_row_ids(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     A vector takes part if it is not null, has no null, NaN or infinite component and is not all zeros. Vectors of
     different widths (numbers of components) have no cosine and are worked on apart.
     """
-    vec = F.col(embedding).cast("array<double>")
+    single = rows.schema[embedding].dataType.simpleString() == "array<float>"  # half the bytes of array<double>
+    vec = F.col(embedding).cast("array<float>" if single else "array<double>")
     rows = rows.select(F.col(vec_id).alias("vec_id"), vec.alias("vec"))
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
+    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     return materialize(rows.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumn("uid", F.monotonically_increasing_id()).withColumn("width", F.size("vec")), "vectors")
 
 

@@ -174,6 +174,26 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_by_blocks(spark, monkeypatch):
+    """Many blocks: vectors follow to the block pairs where they have partners, not to each that their block meets."""
+    rng = np.random.default_rng(15)
+    v = rng.standard_normal((1200, 64))
+    v[1000:] = v[:8].repeat(25, 0) + 0.05 * rng.standard_normal((200, 64))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = roots(len(u), np.argwhere(link).tolist())
+    written, keep = {}, embedding_dedup.materialize
+    monkeypatch.setattr(embedding_dedup, "materialize", lambda df, name: written.setdefault(name, (keep(df, name), df.columns))[0])
+    monkeypatch.setattr(embedding_dedup, "discard", lambda *tables: None)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {i: (link[i].sum(), root[i]) for i in range(len(v))}
+    pairs, wanted = (written[name][0].count() for name in ("block-pairs", "wanted"))
+    assert pairs > 40 and wanted < 8 * link.any(1).sum()
+
+
 def test_vectors_of_several_widths(spark):
     """Rare widths have links and neighbours of their own, in one table with a common one."""
     rng = np.random.default_rng(9)
