@@ -4,11 +4,12 @@ Vectors are scaled to length one, rotated by a fixed random rotation and kept in
 fitted on a bounded sample (SAMPLE rows, the smallest hashes of the ids); every row is indexed. A query probes the lists
 nearest to it, as many as the sample's own queries need for PROBE_RECALL of their neighbours. Within a list, partial
 squared distances grow by COLUMNS rotated dimensions at a time; after each step a test drops the candidates whose partial
-distance, scaled up, exceeds the query's current k-th distance by the factor 1 + EPSILON / sqrt(dimensions seen).
-Survivors get the exact cosine of the original vectors in double precision.
+distance, scaled up, exceeds the query's current k-th distance by the factor 1 + EPSILON / sqrt(dimensions seen), and at
+the end those whose whole distance exceeds it by more than single precision may err (SLACK). Survivors get the exact cosine of the original vectors in double precision.
 
-Long lists are cut into chunks of about CHUNK rows and queries of a list into blocks of about QUERIES, so no task
-depends on the size of a list.
+Long lists are cut into chunks of about CHUNK rows at most. A row goes to its chunk, once, and a query to each chunk of
+the lists it probes; a task holds a chunk and meets its queries QUERIES at a time, so none depends on the size of a list
+and no vector is written for a pair of blocks.
 
 Defined results. Vectors that take no part (see vectors.with_row_ids) are neither queries nor candidates; neighbours
 have the query's width, and each width has an index of its own. A repeated
@@ -22,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import vectors
-from plumbline.llm.common import materialize, partitions_for
 
 SAMPLE = 16_384
 LISTS = 64
 PROBE_RECALL = 0.98
-COLUMNS, EPSILON = 16, 2.1
-CHUNK, QUERIES, STEP = 4096, 512, 1024
+COLUMNS, EPSILON, SLACK = 16, 2.1, np.float32(1e-4)
+CHUNK, LEAST_CHUNK, CHUNKS, QUERIES, STEP = 65_536, 64, 64, 512, 1024
+#: Chunks are dealt to so many tasks at most.
+MOST_TASKS = 4096
 
 
 def rotation(width: int) -> np.ndarray:
@@ -77,32 +80,31 @@ def scan(queries: np.ndarray, rotated_q: np.ndarray, rows: np.ndarray, rotated:
     norm = lambda x: np.stack([(x[:, a:b] ** 2).sum(1) for a, b in zip(cuts, cuts[1:], strict=False)])
     qn, rn = norm(rotated_q), norm(rotated)
     for s, e in steps:
-        limit = 2 - 2 * top[:, -1]  # infinite until k are known
+        limit = (2 - 2 * top[:, -1]).astype(np.float32)  # infinite until k are known
         alive = np.ones((m, e - s), bool)
         partial = np.zeros((m, e - s), np.float32)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if b == width and c:
-                break  # the last block is the exact check itself
             if alive.mean() > 0.1:
-                partial += qn[c][:, None] + rn[c][None, s:e] - 2 * (rotated_q[:, a:b] @ rotated[s:e, a:b].T)
+                partial -= 2 * rotated_q[:, a:b] @ rotated[s:e, a:b].T
+                partial += qn[c][:, None]
+                partial += rn[c][None, s:e]
             else:
                 i, j = np.nonzero(alive)
                 partial[i, j] += qn[c][i] + rn[c][s + j] - 2 * np.einsum("ij,ij->i", rotated_q[i, a:b], rotated[s + j, a:b])
-            alive &= partial * (width / b) <= (limit * (1 + EPSILON / np.sqrt(b)) ** 2)[:, None]
+            most = limit + SLACK if b == width else limit * np.float32((1 + EPSILON / np.sqrt(b)) ** 2 * b / width)
+            alive &= partial <= most[:, None]
         i, j = np.nonzero(alive)
         keep = own[i] != s + j
         i, j = i[keep], j[keep]
         if not len(i):
             continue
-        exact = np.full((m, e - s), -np.inf)
-        for at in range(0, len(i), 65536):
-            x, y = i[at : at + 65536], j[at : at + 65536]
-            exact[x, y] = np.einsum("ij,ij->i", queries[x], rows[s + y])
+        exact = np.concatenate([np.einsum("ij,ij->i", queries[i[at : at + 65536]], rows[s + j[at : at + 65536]]) for at in range(0, len(i), 65536)])
         hit = np.unique(i)
-        both = np.concatenate([top[hit], exact[hit]], 1)
-        places = np.concatenate([where[hit], np.broadcast_to(np.arange(s, e), (len(hit), e - s))], 1)
-        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-        top[hit], where[hit] = np.take_along_axis(both, order, 1), np.take_along_axis(places, order, 1)
+        of, score, place = np.concatenate([np.repeat(hit, k), i]), np.concatenate([top[hit].ravel(), exact]), np.concatenate([where[hit].ravel(), s + j])
+        order = np.lexsort((place, -score, of))
+        first = np.searchsorted(of[order], hit)
+        order = order[first[:, None] + np.arange(k)]  # each has its k rows of before, at least
+        top[hit], where[hit] = score[order], place[order]
         where[np.isinf(top)] = -1
     return where, top
 
@@ -132,38 +134,44 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id
 
         return run
 
-    schema = f"uid long, vec_id {base.schema['vec_id'].dataType.simpleString()}, vec array<double>, list long"
-    rows_in = materialize(good.select("uid", "vec_id", "vec").mapInArrow(assign(False), schema), "lists")
-    asked = materialize(good.where(is_query).select("uid", "vec_id", "vec").mapInArrow(assign(True), schema), "probes")
-
-    def chunked(table: DataFrame, size: int, to: str) -> DataFrame:
-        sizes = {r["list"]: partitions_for(r["count"], size) for r in table.groupBy("list").count().collect()}  # one row per list
-        parts = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("list")) if sizes else F.lit(1)
-        return table.groupBy("list", F.pmod(F.xxhash64("uid"), parts).alias(f"{to}_part")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "uid", "vec"))).alias(to))
-
-    units = materialize(chunked(asked, QUERIES, "q"), "query-blocks").join(materialize(chunked(rows_in, CHUNK, "r"), "row-chunks"), "list")
-    units = materialize(units.select("q", "r"), "scan-units")
-    units = units.repartition(partitions_for(units.count(), 4))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray | None] = {}
-        for batch in batches:
-            for n in range(len(batch)):
-                q, r = batch.column(0)[n].values, batch.column(1)[n].values
-                (qids, qv), (rids, rv) = vectors.block(q), vectors.block(r)
-                turn = turns.setdefault(qv.shape[1], None)
-                if turn is None:
-                    turn = turns[qv.shape[1]] = rotation(qv.shape[1])
-                qv, rv = vectors.unit(qv), vectors.unit(rv)
-                order = np.argsort(rids)
+    kind, vec = (base.schema[c].dataType.simpleString() for c in ("vec_id", "vec"))
+    schema = f"uid long, vec_id {kind}, vec {vec}, list long"
+    rows_in = good.select("uid", "vec_id", "vec").mapInArrow(assign(False), schema)
+    asked = good.where(is_query).select("uid", "vec_id", "vec").mapInArrow(assign(True), schema)
+    sizes = {r["list"]: r["count"] for r in rows_in.groupBy("list").count().collect()}  # one row per list
+    chunk = min(CHUNK, max(LEAST_CHUNK, -(-sum(sizes.values()) // CHUNKS)))
+    parts = {at: max(1, round(n / chunk)) for at, n in sizes.items()}
+    n_parts = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("list")) if parts else F.lit(1)
+    here = rows_in.select("list", F.pmod(F.xxhash64("uid"), n_parts).cast("int").alias("part"), F.lit(False).alias("asks"), "uid", "vec_id", "vec")
+    there = asked.where(F.col("list").isin(*parts)).select("list", F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"), F.lit(True).alias("asks"), "uid", "vec_id", "vec")
+    units = here.unionByName(there).repartition(max(1, min(sum(parts.values()), MOST_TASKS)), "list", "part")
+
+    def run(table: pa.Table) -> pa.Table:
+        """The k nearest of a chunk's rows to each of its queries."""
+        asks = table.column("asks")
+        rows, queries = table.filter(pc.invert(asks)).combine_chunks(), table.filter(asks).combine_chunks()
+        out = []
+        if len(rows) and len(queries):
+            rows = rows.take(pc.sort_indices(rows, sort_keys=[("vec_id", "ascending"), ("uid", "ascending")], null_placement="at_start"))
+            rids, lists = rows.column("uid").to_numpy(), rows.column("vec").combine_chunks()
+            width = len(lists[0])
+            turn = rotation(width)
+            rv = vectors.unit(vectors.matrix(lists, width))
+            rotated = (rv @ turn).astype(np.float32)
+            order = np.argsort(rids)
+            for s in range(0, len(queries), QUERIES):
+                q = queries.slice(s, QUERIES).combine_chunks()
+                qids = q.column("uid").to_numpy()
+                qv = vectors.unit(vectors.matrix(q.column("vec").combine_chunks(), width))
                 at = np.minimum(np.searchsorted(rids[order], qids), len(rids) - 1)
                 own = np.where(rids[order][at] == qids, order[at], -1)
-                where, top = scan(qv, (qv @ turn).astype(np.float32), rv, (rv @ turn).astype(np.float32), own, k)
+                where, top = scan(qv, (qv @ turn).astype(np.float32), rv, rotated, own, k)
                 i, c = np.nonzero(where >= 0)
-                hit = pa.array(where[i, c])
-                yield pa.record_batch([q.field("uid").take(pa.array(i)), q.field("vec_id").take(pa.array(i)), r.field("vec_id").take(hit), r.field("uid").take(hit), pa.array(top[i, c])], names=["quid", "query_id", "vec_id", "uid", "score"])
+                i, hit = pa.array(i), where[i, c]
+                out.append(pa.table([q.column("uid").take(i), q.column("vec_id").take(i), rows.column("vec_id").take(pa.array(hit)), pa.array(rids[hit]), pa.array(top[np.asarray(i), c])], names=["quid", "query_id", "vec_id", "uid", "score"]))
+        kinds = rows.schema.field("vec_id").type
+        return pa.concat_tables(out) if out else pa.table({"quid": pa.array([], pa.int64()), "query_id": pa.array([], kinds), "vec_id": pa.array([], kinds), "uid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
-    kind = base.schema["vec_id"].dataType.simpleString()
-    found = units.mapInArrow(run, f"quid long, query_id {kind}, vec_id {kind}, uid long, score double")
+    found = units.groupBy("list", "part").applyInArrow(run, f"quid long, query_id {kind}, vec_id {kind}, uid long, score double")
     order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
