@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import tokens
-from plumbline.llm.common import connected_components, likely, materialize
+from plumbline.llm.common import connected_components, discard, likely, materialize
 
 K_WORDS, PERCENT = 5, 75
 COMPONENTS, BITS, CHUNKS, RADIUS, ACCEPT = 64, 16, 13, 25, 30
@@ -269,10 +269,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = classes.select("cid", F.posexplode(chunk_keys(F.col("sig"))).alias("slot", "key")).repartition("key")
     sizes = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    shared = materialize(keys.join(sizes, "key"), "shared-keys")
+    once = materialize(keys.join(sizes, "key"), "shared-keys")
     # how many key neighbours a class has in all
-    fame = shared.groupBy("cid").agg(F.sum("k").alias("fame"))
-    shared = materialize(shared.join(fame, "cid").select("key", "slot", "cid", "fame"), "famed-keys")
+    fame = once.groupBy("cid").agg(F.sum("k").alias("fame"))
+    shared = materialize(once.join(fame, "cid").select("key", "slot", "cid", "fame"), "famed-keys")
+    discard(once)
     lead = shared.groupBy("key").agg(F.max_by("cid", F.struct("fame", "cid")).alias("lead"))
     stars = shared.join(lead, "key").select(F.least("lead", "cid").alias("a"), F.greatest("lead", "cid").alias("b")).where("a <> b").distinct()
     stars = materialize(close(stars, classes), "star-pairs")
@@ -286,15 +287,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return have.join(need, F.expr("text_key = rkey and doc_id <=> rid")).select("cid", "text").dropDuplicates(["cid"])
 
     ends = stars.select(F.col("a").alias("cid")).unionByName(stars.select(F.col("b").alias("cid")))
-    links = materialize(confirm(stars, materialize(fetch(ends), "texts")), "star-links")
+    texts = materialize(fetch(ends), "texts")
+    links = materialize(confirm(stars, texts), "star-links")
+    discard(texts, stars)
     parts = connected_components(links)
     at = shared.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("key", "slot", "cid", F.coalesce("component", "cid").alias("comp"))
     split = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     mixed = materialize(at.join(split, "key").join(classes.select("cid", "n", "sig"), "cid").select("key", "slot", "cid", "comp", "n", "sig"), "mixed-keys")
+    discard(shared)
     tried = materialize(wanted(blocks_of(mixed)), "wanted")
-    tried = tried.join(materialize(word_sets(fetch(tried.select("cid"))), "word-sets"), "cid")
-    more = joins(tried.groupBy("unit", "slot").agg(F.collect_list(F.struct("cid", "comp", "n", "other", "sig", "words")).alias("m")))
-    parts = connected_components(links.unionByName(materialize(more, "new-links")))
+    discard(mixed)
+    sets = materialize(word_sets(fetch(tried.select("cid"))), "word-sets")
+    both = tried.join(sets, "cid")
+    more = joins(both.groupBy("unit", "slot").agg(F.collect_list(F.struct("cid", "comp", "n", "other", "sig", "words")).alias("m")))
+    more = materialize(more, "new-links")
+    discard(tried, sets)
+    parts = connected_components(links.unionByName(more))
     comp = classes.join(parts.select(F.col("id").alias("cid"), "component"), "cid", "left").select("cls", "low", F.coalesce("component", "cid").alias("comp"))
     least = comp.groupBy("comp").agg(F.min("low").alias("component_id"))
     comp = comp.join(materialize(least, "component-ids"), "comp").select("cls", "component_id")

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import embedding_dedup, language_id, minhash_dedup, nearest_neighbours, substring_dedup
 from plumbline.llm import vectors as vectors_module
-from plumbline.llm.common import connected_components
+from plumbline.llm.common import connected_components, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -95,6 +96,17 @@ def test_minhash_near_misses(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(want))
 
 
+def test_minhash_deletes_used_tables(spark):
+    """What the next step has been written from takes no room beside it."""
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    there = set(folder.iterdir())
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(4, 30))], "doc_id long, text string")
+    minhash_dedup.near_duplicates(df).collect()
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - there}
+    assert "signed" in left
+    assert not left & {"shared-keys", "famed-keys", "star-pairs", "texts", "mixed-keys", "wanted", "word-sets"}
+
+
 def test_minhash_recall(spark):
     """Lone pairs of a similarity of 0.75 to 0.8: all are found."""
     rng, texts = random.Random(10), []
