@@ -160,6 +160,21 @@ def packed(flat: DataFrame) -> DataFrame:
     return flat.select("width", "p", "code", F.spark_partition_id().alias("part")).mapInArrow(run, "width int, block long, lo double, hi double, codes binary")
 
 
+def merged(blocks: DataFrame, n: int) -> DataFrame:
+    """The blocks, every n neighbours as one: Spark may deal a small table to more partitions than asked for."""
+    rows = blocks.groupBy("width", F.floor(F.col("block") / n).alias("block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("codes").alias("codes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lists in batch.column(4):
+                block = np.frombuffer(b"".join(lists.as_py()), CODE)
+                out.append(block[np.argsort(block["q"], kind="stable")].tobytes())
+            yield pa.record_batch([*batch.columns[:4], pa.array(out, pa.binary())], names=["width", "block", "lo", "hi", "codes"])
+
+    return rows.mapInArrow(run, "width int, block long, lo double, hi double, codes binary")
+
+
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     base = vectors.with_row_ids(rows, vec_id, embedding)
@@ -177,6 +192,9 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     size = min(BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS)))
     flat = flat.repartitionByRange(partitions_for(n, size), "width", "p", "uid")
     blocks = materialize(packed(flat), "blocks")
+    if (made := blocks.count()) >= 2 * partitions_for(n, size):
+        small, blocks = blocks, materialize(merged(blocks, made // partitions_for(n, size)), "merged-blocks")
+        discard(small)
     pairs = materialize(block_pairs(blocks.select("width", "block", "lo", "hi"), limits[2]).withColumn("unit", F.xxhash64("width", "a", "b")), "block-pairs")
     units = partitions_for(pairs.count(), 1)
     sides = pairs.select("unit", "width", F.explode(F.when(F.expr("a = b"), F.array(F.struct("a", F.lit(0).alias("side")))).otherwise(F.array(F.struct("a", F.lit(0).alias("side")), F.struct(F.col("b").alias("a"), F.lit(1).alias("side"))))).alias("x"))
