@@ -402,6 +402,53 @@ def test_passages_of_similarity(spark):
     assert len(got & set(pairs)) >= 0.97 * len(pairs)
 
 
+def test_straight_chains():
+    """Many chains on one diagonal at once, against their alignment one by one."""
+    rng = np.random.default_rng(21)
+    S, lists, chains, want = substring_dedup, ([], []), [], []
+    for _ in range(600):
+        a = rng.integers(0, 10**6, rng.integers(4, 200)).astype(np.int32)
+        b = np.where(rng.random(len(a)) < rng.choice([0, 0.1, 0.2, 0.3, 0.7]), -1, a).astype(np.int32)
+        skip = int(rng.integers(0, 30))
+        at = sorted(rng.choice(len(a) - 3, min(len(a) - 3, int(rng.integers(1, 6))), replace=False).tolist())
+        for i in at:
+            b[i : i + S.K_WORDS] = a[i : i + S.K_WORDS]
+        b = np.concatenate([rng.integers(0, 10**6, skip).astype(np.int32), b[: at[-1] + S.K_WORDS + int(rng.integers(0, 90))]])
+        chains.append((at[0], at[0] + skip, at[-1] - at[0] + S.K_WORDS))
+        want.append(S.align([(i, i + skip) for i in at], a, b))
+        for x, words in zip(lists, (a, b), strict=True):
+            x.append(words)
+    ends = [np.cumsum([0, *map(len, x)]) for x in lists]
+    x, y, width = np.array(chains).T
+    got = S.straight(*map(np.concatenate, lists), x + ends[0][:-1], y + ends[1][:-1], width, *(np.stack([e[:-1], e[1:]], axis=1) for e in ends))
+    got = [g - e[:-1] for g, e in zip(got[:4], (ends[0], ends[0], ends[1], ends[1]), strict=True)] + [got[4]]
+    assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+    assert 100 < sum(S.fits(*w) for w in want) < 550
+
+
+def test_bits_around():
+    """Against their definition, place by place, also from a slice of the packed values."""
+    S, words = substring_dedup, np.random.default_rng(22).integers(0, 2**60, 230).astype(np.uint64)
+    places = [(0, 0, 90), (40, 0, 90), (86, 0, 90), (90, 90, 94), (94, 94, 230), (170, 94, 230)]
+    got = S.bits_around(words, *(np.array(c) for c in zip(*places, strict=True)))
+    for k, (i, s, e) in enumerate(places):
+        for side, near in enumerate((words[max(s, i - S.MARGIN) : i][::-1], words[i + S.K_WORDS : min(e, i + S.K_WORDS + S.MARGIN)])):
+            want = [*(int(w) & 1 for w in near), 1]
+            assert np.unpackbits(got[side][k], bitorder="little").tolist() == want + [0] * (72 - len(want))
+    assert (S.unpacked(S.packed(got[0]).slice(2, 3)) == got[0][2:5]).all()
+
+
+def test_passages_without_ids(spark):
+    """Texts are fetched by hash and id: null ids and repeated rows meet too."""
+    rng = random.Random(23)
+    make = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage = make(70)
+    one, two = " ".join(make(20) + passage + make(20)), " ".join(make(9) + passage[:40] + ["x"] + passage[41:] + make(30))
+    df = spark.createDataFrame([(None, one), (None, one), (5, two), (5, two), (6, " ".join(make(90)))], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert sorted((str(r.doc_id), r.start, r.end, str(r.other_id), r.other_start, r.other_end) for r in rows if r.doc_id != r.other_id) == [("5", 9, 79, "None", 20, 90), ("None", 20, 90, "5", 9, 79)]
+
+
 def test_minhash_radius():
     """Signatures within RADIUS of each other share a key, however the errors lie, and are compared in the first one they share."""
     m, rng = minhash_dedup, np.random.default_rng(1)
