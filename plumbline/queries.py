@@ -319,7 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_rollup": _eval(evaluation.rollup),
     "eval_json": _eval(eval_json),
     "eval_prompts": eval_prompts,
-    "rep_n_documents": both_lengths(repetition.rep_n),
+    "rep_n_documents": parsed(lambda d: repetition.rep_n(d, LENGTHS)),
     "rep_n_windows": parsed(lambda d: repetition.rep_n_windows(d, LENGTHS)),
     "rep_heavy_phrases": both_lengths(lambda d, n: repetition.heavy_phrases(d, n, HEAVY_DOCUMENTS)),
     "restatement_within": parsed(lambda d: pair_rows(repetition.restatements(d)[1])),
