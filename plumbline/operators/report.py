@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import materialize
 from plumbline.operators.parse import source_lines
 from plumbline.operators.rules import Rule
 
@@ -53,8 +54,10 @@ def groups(findings: DataFrame) -> DataFrame:
 def concise(findings: DataFrame, color: bool = False) -> DataFrame:
     """(seq_rank, rule_id, seq, report): header, shared hint and rows of each rule; order by the first three.
 
-    Every line is a row of its own, so no task gathers the findings of a rule.
+    Every line is a row of its own, so no task gathers the findings of a rule. The findings are read for the groups and
+    for the rows, so they are written down first, with the columns that are needed: texts are linted once.
     """
+    findings = materialize(findings.select("rule_id", "severity", "path", "line", "col", "message", "hint", "match"), "findings")
     g = groups(findings)
     severity = colored(F.col("severity")) if color else F.col("severity")
     head = g.select(rank(F.col("severity")).alias("seq_rank"), "rule_id", F.lit(0).alias("seq"), F.lit("").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("col"), F.concat_ws(" · ", "rule_id", severity, F.col("n").cast("string")).alias("report"))
